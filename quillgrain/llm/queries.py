@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrain.session import table
 
-from . import common, leaks, packing, repetition, splitting
+from . import common, leaks, packing, repetition, splitting, toxicity
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +60,21 @@ def p8_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(docs.select("doc_id", F.col("source")), "doc_id", p8_found(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p5_found, p5_pieces, p7_containers, p8_found, p8_matches, p8_clean_documents)}
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and category probabilities."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", ("source",))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abusive, hateful or sexually explicit documents."""
+    return p9_scores(spark, sf_dir).where("abusive").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the share of abusive ones for each source; a null source is a source."""
+    scored = p9_scores(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("abusive").alias("n_abusive"), F.avg("score").alias("mean_score"))
+    return scored.withColumn("rate", F.round(F.col("n_abusive") / F.col("n_docs"), 6)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p5_found, p5_pieces, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}
