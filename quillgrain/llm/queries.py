@@ -7,7 +7,40 @@ from pyspark.sql import functions as F
 
 from quillgrain.session import table
 
-from . import common, leaks, packing, repetition, splitting, toxicity
+from . import common, defects, leaks, packing, repetition, splitting, toxicity, truncation
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective replies of all three tables with their defect."""
+    rows = common.replies(spark, sf_dir, ("preference_pairs", "call_log", "sft_conversations"))
+    return defects.broken_replies(rows, ["tbl", "row_key", "field", "turn_no"], "prompt", "reply", "may_refuse").distinct()
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.replies(spark, sf_dir, ("preference_pairs", "call_log"))
+    return truncation.measure(rows, ["tbl", "row_key", "field", "source"], "reply", "prompt")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the pairs' chosen answers and the call log that a limit or a transfer cut."""
+    rows = _measured(spark, sf_dir).where("field <> 'rejected'")
+    return truncation.cut_values(rows, ["tbl", "field", "source"], ["tbl", "row_key", "field"]).select("tbl", "row_key", "field").distinct()
+
+
+def p2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limits that show in each source's lengths."""
+    return truncation.length_limits(_measured(spark, sf_dir).where("field <> 'rejected'"), ["tbl", "field", "source"])
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and cut values for each source (pairs) and model type (calls); a call counts once."""
+    rows = _measured(spark, sf_dir).where("field <> 'rejected'")
+    cut = truncation.cut_values(rows, ["tbl", "field", "source"], ["tbl", "row_key", "field"])
+    count = lambda df, name: df.groupBy("tbl", "field", "source").agg(F.countDistinct("row_key").alias(name))
+    a, b = count(rows, "n_values"), count(cut, "n_cut")
+    joined = a.alias("a").join(b.alias("b"), (F.col("a.tbl") == F.col("b.tbl")) & (F.col("a.field") == F.col("b.field")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left")
+    n_cut = F.coalesce(F.col("b.n_cut"), F.lit(0))
+    return joined.select("a.tbl", "a.field", "a.source", "a.n_values", n_cut.alias("n_cut"), F.round(n_cut / F.col("a.n_values"), 6).alias("rate"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +109,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rate", F.round(F.col("n_abusive") / F.col("n_docs"), 6)).withColumn("mean_score", F.round("mean_score", 6))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p5_found, p5_pieces, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_limits, p2_rates, p3_found, p3_shares, p5_found, p5_pieces, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}
