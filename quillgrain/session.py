@@ -55,3 +55,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def write_shared(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back: compressed, prunable, reread without recomputing."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillgrain-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
