@@ -105,3 +105,33 @@ def replies(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> DataFr
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def joined_answers(df: DataFrame, key: str, outputs: str) -> DataFrame:
+    """key and text: the answer texts of an array of outputs, a line each; a null array gives an empty text."""
+    flat = df.select(F.col(key).alias("k"), F.col(outputs).alias("o"))
+
+    def run(batches):
+        for b in batches:
+            yield b[["k"]].assign(text=["\n".join(map(answer_text, o)) if o is not None else "" for o in b["o"]])
+
+    return flat.mapInPandas(run, flat.select("k").schema.add("text", "string")).withColumnRenamed("k", key)
+
+
+def compared_texts(records: DataFrame) -> DataFrame:
+    """side, tbl, key, scope, norm of records (side, tbl, key, about, chunk, body).
+
+    Where ``about`` holds, the text is the prompt's question and the scope is ``chunk``, or else the
+    chunk that the prompt names; a record about no chunk is left out, for it can have no case.
+    Elsewhere the whole body counts and the scope is null.
+    """
+    flat = records.select("side", "tbl", "key", "about", "chunk", "body").where("body is not null")
+
+    def run(batches):
+        for b in batches:
+            scope = [(c if c is not None else chunk_of(x)) if about else None for about, c, x in zip(b["about"], b["chunk"], b["body"])]
+            norm = [normalise(question_of(x) if about else x) for about, x in zip(b["about"], b["body"])]
+            out = b[["side", "tbl", "key"]].assign(scope=scope, norm=norm)
+            yield out[[s is not None or not about for s, about in zip(scope, b["about"])]]
+
+    return flat.mapInPandas(run, flat.select("side", "tbl", "key").schema.add("scope", "string").add("norm", "string"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrain.session import table
 
-from . import common, defects, leaks, packing, repetition, splitting, toxicity, truncation
+from . import common, defects, leaks, near_duplicates, overlap, packing, repetition, splitting, toxicity, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,37 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_shares(rows, ["tbl", "row_key", "turn_no"], "reply")
 
 
+def _sample_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id and the joined answers of the samples without a repetitive turn."""
+    samples = table(spark, sf_dir, "sft_conversations")
+    looping = repetition.repetitive_texts(common.turn_replies(samples), ["row_key"], "reply").distinct()
+    outputs = samples.select("sample_id", F.col("conversation.output").alias("outputs")).join(looping.withColumnRenamed("row_key", "sample_id"), "sample_id", "left_anti")
+    return common.joined_answers(outputs, "sample_id", "outputs")
+
+
+def _p4(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame, DataFrame]]:
+    prompts = table(spark, sf_dir, "all_aigame_prompt").select("entry_key", "system_prompt")
+    return [
+        ("sft_conversations", "sample_id", *near_duplicates.near_duplicates(_sample_texts(spark, sf_dir), "sample_id", "text")),
+        ("all_aigame_prompt", "entry_key", *near_duplicates.near_duplicates(prompts, "entry_key", "system_prompt")),
+    ]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one table that share at least 0.7 of their 4-character substrings."""
+    parts = [near_duplicates.expand_pairs(members, links, key).select(F.lit(tbl).alias("tbl"), "key_a", "key_b") for tbl, key, members, links in _p4(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record that takes part: its class of equal texts, and that class's links."""
+    parts = []
+    for tbl, key, members, links in _p4(spark, sf_dir):
+        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+        parts.append(members.join(ends, "id", "left").select(F.lit(tbl).alias("tbl"), F.col(key).alias("row_key"), F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return parts[0].unionByName(parts[1])
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 2200 characters of every oversized chunk."""
     return splitting.split_oversized(table(spark, sf_dir, "evidence_corpus"), "line_no", "text", "section")
@@ -71,6 +102,32 @@ def tokenizer_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation questions and inputs (side 0) and training inputs (side 1) with the chunk they are about."""
+    samples = table(spark, sf_dir, "sft_conversations").select("sample_id", "split", "sample_type", F.col("conversation")[0]["input"].alias("body"))
+    side = F.when(F.col("split") == "train", 1).when(F.col("split").isin("eval", "test"), 0)
+    first = samples.select(F.lit("sft_conversations").alias("tbl"), F.col("sample_id").alias("key"), side.cast("int").alias("side"), F.coalesce(F.col("sample_type").isin("answerable", "unanswerable"), F.lit(False)).alias("about"), F.lit(None).cast("string").alias("chunk"), "body")
+    asked = table(spark, sf_dir, "eval_set").select(F.lit("eval_set").alias("tbl"), F.col("id").alias("key"), F.lit(0).alias("side"), F.lit(True).alias("about"), F.explode("evidence_chunk_ids").alias("chunk"), F.col("question").alias("body"))
+    return common.compared_texts(first.unionByName(asked).where("side is not null"))
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.cross_split_links(_split_records(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation records that occur again, the same or nearly so, among the training inputs."""
+    return overlap.expand_links(*p6_links(spark, sf_dir))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation records with an overlap for each split and source; eval_set is a split of its own."""
+    samples = table(spark, sf_dir, "sft_conversations").select(F.lit("sft_conversations").alias("tbl"), F.col("sample_id").alias("eval_key"), "split", "source").where("split in ('eval', 'test')")
+    asked = table(spark, sf_dir, "eval_set").select(F.lit("eval_set").alias("tbl"), F.col("id").alias("eval_key"), F.lit("eval_set").alias("split"), F.col("type").alias("source"))
+    hits = p6_found(spark, sf_dir).groupBy("tbl", "eval_key").agg(F.count("*").alias("n"))
+    return samples.unionByName(asked).join(hits, ["tbl", "eval_key"], "left").groupBy("split", "source").agg(F.count("*").alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, in tokens, assigned to containers of 2048 tokens."""
     sized = packing.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
@@ -109,5 +166,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rate", F.round(F.col("n_abusive") / F.col("n_docs"), 6)).withColumn("mean_score", F.round("mean_score", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_limits, p2_rates, p3_found, p3_shares, p5_found, p5_pieces, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_limits, p2_rates, p3_found, p3_shares, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_counts, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}
