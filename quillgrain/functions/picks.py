@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 SEED = "1234"
 
 
@@ -23,7 +25,7 @@ def pick_number(key: Column, n: Column | int) -> Column:
 
 def pick_from(parts: Column, key: Column) -> Column:
     """One element of an array; null for an empty one."""
-    return F.when(F.size(parts) > 0, F.get(parts, pick_number(key, F.size(parts)).cast("int")))
+    return let(parts, lambda p: F.when(F.size(p) > 0, F.get(p, pick_number(key, F.size(p)).cast("int"))))
 
 
 def first_by_hash(df: DataFrame, scope: str, n: int, *ids: str) -> DataFrame:

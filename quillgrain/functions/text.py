@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ DEFINITION = r"(?i)\b(is|refers to|defined as)\b"
 CONDITION = r"(?i)\bshall\b|\bwhen\b|\bif\b"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: inside a lambda an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(col, f"^{BLANK}+|{BLANK}+$", "")
@@ -82,9 +89,10 @@ def within(parts: Column, low: int, high: int) -> Column:
 
 def quote_candidates(col: Column) -> Column:
     """Sentences of 60 to 240 characters, where there are none of 30 to 300."""
-    own = sentences(col)
-    first = within(own, 60, 240)
-    return F.when(F.size(first) > 0, first).otherwise(within(own, 30, 300))
+    def choose(own: Column) -> Column:
+        return let(within(own, 60, 240), lambda first: F.when(F.size(first) > 0, first).otherwise(within(own, 30, 300)))
+
+    return let(sentences(col), choose)
 
 
 def shorten(col: Column, most: int = 120) -> Column:
@@ -121,15 +129,19 @@ def full_prompt(system: Column, user: Column) -> Column:
 
 def word_ngrams(col: Column, n: int = 3) -> Column:
     """Distinct n-grams of the lower-case words ``[a-z0-9_-]+``; empty for fewer than n words."""
-    words = F.regexp_extract_all(F.lower(col), F.lit(r"[a-z0-9_\-]+"), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    def grams(words: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(F.lower(col), F.lit(r"[a-z0-9_\-]+"), F.lit(0)), grams)
 
 
 def coverage(answer: Column, evidence: Column, n: int = 3) -> Column:
     """Share of the answer's n-grams that the evidence has; 0 where either side has none."""
-    a, e = word_ngrams(answer, n), word_ngrams(evidence, n)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, e)).cast("double"), F.nullif(F.size(a), F.lit(0)).cast("double")), F.lit(0.0))
+    def share(a: Column) -> Column:
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(a, word_ngrams(evidence, n))).cast("double"), F.nullif(F.size(a), F.lit(0)).cast("double")), F.lit(0.0))
+
+    return let(word_ngrams(answer, n), share)
 
 
 def count_cjk(col: Column) -> Column:
@@ -260,9 +272,6 @@ def brace_object(col: Column) -> Column:
 
     Braces only change the depth, so the fold runs over brace positions, not characters.
     """
-    before = F.regexp_extract(col, r"(?s)^[^{]*", 0)
-    rest = F.substr(col, F.length(before) + 1)
-    parts = F.regexp_extract_all(rest, F.lit(r"(?s)[^{}]*[{}]"), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -270,5 +279,8 @@ def brace_object(col: Column) -> Column:
         at = acc["at"] + F.length(part)
         return F.struct(depth.cast("int").alias("depth"), at.cast("int").alias("at"), F.when((acc["end"] == 0) & (depth == 0), at).otherwise(acc["end"]).cast("int").alias("end"))
 
-    end = F.aggregate(parts, start, step)["end"]
-    return F.coalesce(F.substr(rest, F.lit(1), end), F.lit(""))
+    def balanced(rest: Column) -> Column:
+        parts = F.regexp_extract_all(rest, F.lit(r"(?s)[^{}]*[{}]"), F.lit(0))
+        return F.substr(rest, F.lit(1), F.aggregate(parts, start, step)["end"])
+
+    return F.coalesce(let(F.regexp_replace(col, r"(?s)^[^{]+", ""), balanced), F.lit(""))

@@ -73,16 +73,17 @@ def capped_mix(rows: DataFrame, tier: str, caps: dict[str, int], scope: str, key
 def line_tier_quote(text: Column, key: Column, low: int, high: int, most_lines: int = 3) -> Column:
     """A quote of whole lines: a line in range if any, else two joined lines, then three."""
 
-    def joiner(lines: Column, k: int):
-        return lambda i: F.array_join(F.slice(lines, i, k), "\n")
+    def joined(lines: Column, k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(lines) - (k - 1)), lambda i: F.array_join(F.slice(lines, i, k), "\n"))
+        return T.within(F.when(F.size(lines) >= k, each).otherwise(F.array().cast("array<string>")), low, high)
 
-    lines = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda x: x != "")
-    out = None
-    for k in range(most_lines, 0, -1):
-        joined = F.when(F.size(lines) >= k, F.transform(F.sequence(F.lit(1), F.size(lines) - (k - 1)), joiner(lines, k))).otherwise(F.array().cast("array<string>"))
-        fit = T.within(joined, low, high)
-        out = F.when(F.size(fit) > 0, P.pick_from(fit, key)) if out is None else F.when(F.size(fit) > 0, P.pick_from(fit, key)).otherwise(out)
-    return out
+    def tiers(lines: Column) -> Column:
+        out = P.pick_from(joined(lines, most_lines), key)
+        for k in range(most_lines - 1, 0, -1):
+            out = F.coalesce(P.pick_from(joined(lines, k), key), out)
+        return out
+
+    return T.let(F.filter(F.transform(F.split(text, "\n"), T.strip), lambda x: x != ""), tiers)
 
 
 def draws(sample: DataFrame, n: int, scope: str = "draw") -> DataFrame:
