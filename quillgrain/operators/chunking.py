@@ -180,7 +180,7 @@ BLOCKS = (
     ("citation", r"^\[[^\]\n]{1,40}\]:[^\n]{1,200}"),
     ("tag", r"<([A-Za-z][A-Za-z0-9]*)(?:\s[^>]{0,100})?>[^<]{0,1000}</\1>|<[A-Za-z/!][^>]{0,100}>"),
     ("sentence", r"[^\s.!?…。！？][^\n.!?…。！？]{0,399}(?:[.](?=\w)[^\n.!?…。！？]{0,399})*[.!?…。！？]+[\"'”’」』）)\]]*"),
-    ("line", r"[^\n]{1,800}"),
+    ("line", r"\S[^\n]{0,799}"),
 )
 
 

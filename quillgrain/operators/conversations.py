@@ -55,13 +55,14 @@ def first_turn(conversation: Column, default_system: str) -> Column:
 
 def plain_kin_output(question: Column, output: Column) -> Column:
     """For each kin name in the question the replacements are applied to the output once, in order."""
-    out = output
-    for name in KIN:
-        changed = out
+    # a fold, since nested expressions would double with every name
+    def once(acc: Column, name: Column) -> Column:
+        changed = acc
         for old, new in REWRITES:
             changed = F.replace(changed, F.lit(old), F.lit(new))
-        out = F.when(F.contains(question, F.lit(name)), changed).otherwise(out)
-    return out
+        return F.when(F.contains(question, name), changed).otherwise(acc)
+
+    return F.aggregate(F.array(*map(F.lit, KIN)), output, once)
 
 
 def occasion_input(question: Column, pick: Column) -> Column:
@@ -69,26 +70,14 @@ def occasion_input(question: Column, pick: Column) -> Column:
 
     Later occasions see the result of earlier ones.
     """
-    out = question
-    for name in OCCASIONS:
-        role = F.substring(F.split_part(out, F.lit(name), F.lit(1)), 2, 1_000_000)
-        made = F.element_at(F.array(*[F.concat(*[role if p == "r" else F.lit(name) if p == "s" else F.lit(p) for p in _pieces(w)]) for w in WISHES]), (pick + 1).cast("int"))
-        out = F.when(F.contains(out, F.lit(name)) & ~F.contains(out, F.lit(",")), made).otherwise(out)
-    return out
-
-
-def _pieces(template: str) -> list[str]:
-    out, rest = [], template
-    while rest:
-        at = min((i for i in (rest.find("{r}"), rest.find("{s}")) if i >= 0), default=-1)
-        if at < 0:
-            out.append(rest)
-            break
-        if at:
-            out.append(rest[:at])
-        out.append(rest[at + 1])
-        rest = rest[at + 3 :]
-    return out
+    template = F.element_at(F.array(*map(F.lit, WISHES)), (pick + 1).cast("int"))
+
+    def once(acc: Column, name: Column) -> Column:
+        role = F.substring(F.split_part(acc, name, F.lit(1)), 2, 1_000_000)
+        made = F.replace(F.replace(template, F.lit("{r}"), role), F.lit("{s}"), name)
+        return F.when(F.contains(acc, name) & ~F.contains(acc, F.lit(",")), made).otherwise(acc)
+
+    return F.aggregate(F.array(*map(F.lit, OCCASIONS)), question, once)
 
 
 def render_history(rows: DataFrame, key: str, place: str, role: Column, text: Column, line: str = "{role}: {text}") -> DataFrame:

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from quillgrain.functions import text as T
 
@@ -95,7 +96,7 @@ def epub_text(content: bytes) -> str:
 def rtf_text(content: bytes) -> str:
     """Text of an RTF file: control words and groups of settings out, escapes decoded."""
     raw = content.decode("latin-1")
-    raw = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info|pict)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", raw)
+    raw = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info|pict)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", " ", raw)
     raw = re.sub(r"\\u(-?\d+)\??", lambda m: chr(int(m[1]) % 65536), raw)
     raw = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), raw)
     raw = re.sub(r"\\par[d]?\b ?", "\n", raw)
@@ -236,4 +237,4 @@ def in_batches(rows: DataFrame, text: str, call: Callable[[list[str]], list[str]
                 time.sleep(pause)
             yield b.assign(result=out)
 
-    return rows.mapInPandas(run, rows.schema.add("result", "string"))
+    return rows.mapInPandas(run, T_.StructType([*rows.schema.fields, T_.StructField("result", T_.StringType())]))
