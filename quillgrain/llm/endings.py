@@ -70,7 +70,7 @@ def ending(text: str) -> int:
     parts = [p.strip() for p in re.split(r"[,，、]", fragment)]
     if len(parts) > 1 and fragment == s.strip() and _FOUR.match(parts[-1]) and all(_FOUR.match(p) for p in parts[2:]) and len(parts[0]) <= 10:
         return WHOLE
-    if len(s) <= 12 and len(lines) == 1 and not _TERMINAL.search(s):
+    if len(s) <= 12 and len(lines) == 1 and len(parts) == 1 and not _TERMINAL.search(s):
         return WHOLE
     return BROKEN
 
