@@ -13,7 +13,7 @@ BLANK = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}
 PAGE_LINE = r"(?i)^page[ ]+[0-9]+([ ]+of[ ]+[0-9]+)?[ ]*$"
 TOC_LINE = r"[ ][0-9]{1,4}$"
 BOX_CHARS = r"[┌┐└┘─│]"
-HEADING = r"^(Annex [A-Z]|[A-Z]\.[0-9]+(?:\.[0-9]+)*|[0-9]+(?:\.[0-9]+)*)\b[ ]*(.*)$"
+HEADING = r"^(Annex [A-Z]|[A-Z]\.[0-9]+(?:\.[0-9]+)*|[0-9]+(?:\.[0-9]+)*)([^\p{L}\p{N}_].*)?$"
 # Word classes of question types.
 DEFINITION = r"(?i)\b(is|refers to|defined as)\b"
 CONDITION = r"(?i)\bshall\b|\bwhen\b|\bif\b"
@@ -39,10 +39,12 @@ def is_page_number(line: Column) -> Column:
     return line.rlike("^[0-9]+$") | line.rlike(PAGE_LINE)
 
 
-def is_table_noise(line: Column) -> Column:
-    """Empty, three pipes or more, box-drawing characters, or six blanks in a row."""
+def is_table_noise(line: Column, raw: Column | None = None) -> Column:
+    """Empty, three pipes or more, or box-drawing characters; with the ``raw`` line also six blanks in
+    a row, which a normalised line cannot have."""
     pipes = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    return (line == "") | (pipes >= 3) | line.rlike(BOX_CHARS) | line.rlike(f"{BLANK}{{6,}}")
+    noise = (line == "") | (pipes >= 3) | line.rlike(BOX_CHARS)
+    return noise if raw is None else noise | raw.rlike(f"{BLANK}{{6,}}")
 
 
 def is_toc_like(line: Column) -> Column:
@@ -53,7 +55,7 @@ def is_toc_like(line: Column) -> Column:
 def heading(line: Column) -> tuple[Column, Column]:
     """(section, title) of a heading line, else nulls; the title is null where a heading has none."""
     empty = F.lit("")
-    return F.nullif(F.regexp_extract(line, HEADING, 1), empty), F.nullif(F.regexp_extract(line, HEADING, 2), empty)
+    return F.nullif(F.regexp_extract(line, HEADING, 1), empty), F.nullif(F.ltrim(F.regexp_extract(line, HEADING, 2)), empty)
 
 
 def file_stem(path: Column) -> Column:

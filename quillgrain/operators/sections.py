@@ -9,8 +9,13 @@ from quillgrain.functions import text as T
 
 
 def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_no (from 0), line: one normalised row for each line; null texts give none."""
-    return docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")).select(key, F.col("line_no").cast("long").alias("line_no"), T.normalize_line(F.col("line")).alias("line"))
+    """key, line_no (from 0), line: one normalised row for each line; null texts give none.
+
+    Lines are normalised before the explode: as an expression after it, every later predicate would
+    compute it again.
+    """
+    lines = F.transform(F.split(F.col(text), "\n"), T.normalize_line)
+    return docs.select(key, F.posexplode(lines).alias("line_no", "line")).select(key, F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 def repeated_lines(lines: DataFrame, key: str = "doc_id", most_len: int = 80, min_count: int = 20) -> DataFrame:

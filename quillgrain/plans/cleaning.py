@@ -14,10 +14,10 @@ from .registry import LINES, B, query
 PAGE = "(regexp_matches(line, '^[0-9]+$') or regexp_matches(line, '(?i)^page[ ]+[0-9]+([ ]+of[ ]+[0-9]+)?[ ]*$'))"
 NOISE = "(line = '' or length(line) - length(replace(line, '|', '')) >= 3 or regexp_matches(line, '[┌┐└┘─│]'))"
 TOC = "regexp_matches(line, '[ ][0-9]{1,4}$')"
-HEAD = r"'^(Annex [A-Z]|[A-Z]\.[0-9]+(?:\.[0-9]+)*|[0-9]+(?:\.[0-9]+)*)\b[ ]*(.*)$'"
+HEAD = r"'^(Annex [A-Z]|[A-Z]\.[0-9]+(?:\.[0-9]+)*|[0-9]+(?:\.[0-9]+)*)([^\pL\pN_].*)?$'"
 CLEAN = f"""rep as (select doc_id, line from norm where length(line) between 1 and 80 and not {PAGE} group by all having count(*) >= 2),
 clean as (select n.* from norm n where not ({PAGE} or {NOISE} or {TOC}) and not exists (select 1 from rep r where r.doc_id = n.doc_id and r.line = n.line)),
-head as (select *, nullif(regexp_extract(line, {HEAD}, 1), '') as sec, nullif(regexp_extract(line, {HEAD}, 2), '') as tit from clean),
+head as (select *, nullif(regexp_extract(line, {HEAD}, 1), '') as sec, nullif(ltrim(regexp_extract(line, {HEAD}, 2), ' '), '') as tit from clean),
 carried as (select doc_id, line_no, line, sec, last_value(case when sec is not null then struct_pack(s := sec, t := tit) end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as h from head)"""
 
 
@@ -31,7 +31,7 @@ def q_normalize_lines(spark, sf_dir):
 
 
 @query(f"""with {LINES} select doc_id, line_no, {PAGE} as is_page, {NOISE} as is_table, {TOC} as is_toc,
- nullif(regexp_extract(line, {HEAD}, 1), '') as section, nullif(regexp_extract(line, {HEAD}, 2), '') as title from norm""")
+ nullif(regexp_extract(line, {HEAD}, 1), '') as section, nullif(ltrim(regexp_extract(line, {HEAD}, 2), ' '), '') as title from norm""")
 def q_line_flags(spark, sf_dir):
     line = F.col("line")
     section, title = T.heading(line)
