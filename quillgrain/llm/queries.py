@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrain.functions.text import BLANK
 from quillgrain.session import table
 
 from . import common, defects, leaks, near_duplicates, overlap, packing, repetition, splitting, toxicity, truncation
@@ -167,4 +168,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_limits, p2_rates, p3_found, p3_shares, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_counts, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p5_found": rf"""with t as (select line_no, regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g') as body from evidence_corpus where text is not null)
+select line_no, case when list_max(list_transform(string_split_regex(body, '[\s.!?;:,。！？；：，、]|{BLANK}'), lambda x: length(x))) > 2200 then 'forced' else 'natural' end as boundary from t where length(body) > 2200""",
+}

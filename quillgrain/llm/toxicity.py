@@ -110,13 +110,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit_one(rows, cols, norm, extra, y, steps: int = 40, l2: float = 1e-4):
+def _fit_one(rows, cols, norm, extra, y, steps: int = 30, l2: float = 1e-4):
     """Logistic regression by Adam over sparse unit-length rows and a few dense columns."""
     n, d = len(y), extra.shape[1]
     pos = max(1.0, y.sum())
     weight = np.where(y > 0, 0.5 * n / pos, 0.5 * n / max(1.0, n - pos)) ** 0.5
     weight /= weight.sum()
-    used, cols = np.unique(cols, return_inverse=True)
+    used = np.flatnonzero(np.bincount(cols, minlength=_SIZE))
+    place = np.zeros(_SIZE, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    cols = place[cols]
     w = np.zeros(len(used) + d + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
@@ -124,7 +127,7 @@ def _fit_one(rows, cols, norm, extra, y, steps: int = 40, l2: float = 1e-4):
         e = (_sigmoid(z) - y) * weight
         g = np.concatenate([np.bincount(cols, weights=(e * norm)[rows], minlength=len(used)), extra.T @ e, [e.sum()]]) + l2 * w / max(1, n) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.25 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     full = np.zeros(_SIZE + 1, dtype=np.float32)
     full[used] = w[: len(used)]
     return full, w[len(used) : -1], w[-1]
@@ -233,8 +236,9 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
                     continue
                 j = list(seeds).index(name)
                 y = np.concatenate([hits[pos, j], np.zeros(len(neg))]).astype(float)
-                other = np.concatenate([hits[pos].any(1), np.ones(len(neg), dtype=bool)])
-                known = other  # a chosen sentence without any seed has no category of its own yet
+                # a chosen sentence without any seed has no category of its own yet; of the
+                # negatives a third is enough for a category, the last model sees them all
+                known = np.concatenate([hits[pos].any(1), np.arange(len(neg)) % 3 == 0])
             extra = oof[:, :k]
             if final:
                 for f in range(folds):
