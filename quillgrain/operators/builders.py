@@ -86,6 +86,20 @@ def line_tier_quote(text: Column, key: Column, low: int, high: int, most_lines:
     return T.let(F.filter(F.transform(F.split(text, "\n"), T.strip), lambda x: x != ""), tiers)
 
 
+def eval_targets(total: int = 240, unanswerable: float = 0.33) -> dict[str, int]:
+    """How many questions of each type an evaluation set has; halves round to even."""
+    no = round(total * unanswerable)
+    return {"unanswerable": no, "answerable": total - no}
+
+
+def instruction_targets(train: int = 6000, held_out: int = 500, refusals: float = 0.25, anchors: float = 0.35) -> dict[str, int]:
+    """Sizes of the tiers of an instruction set; anchor refusals come on top of it."""
+    total = train + held_out
+    no = int(total * refusals)
+    yes = total - no
+    return {"refusals": no, "answerables": yes, "anchors": int(yes * anchors), "anchor_refusals": max(100, no // 4)}
+
+
 def draws(sample: DataFrame, n: int, scope: str = "draw") -> DataFrame:
     """``n`` draws with replacement from a ranked sample (rank from 1)."""
     spark = sample.sparkSession

@@ -146,3 +146,26 @@ def test_catalogue_lookups(spark):
     r = row.select(M.describe(F.col("at"), F.col("d")).alias("m"), M.empty_slots(F.col("at")).alias("e"), M.literal_list(F.col("l")).alias("l"), M.is_known_label(F.array(F.lit("4：x")), F.lit("4")).alias("k")).first()
     assert r.m == {"a": "x", "b": None} and r.e == {"a": "", "b": ""} and r.l == ["p", "q"] and r.k
     assert spark.createDataFrame([({"t": "s"},)], "m map<string,string>").select(*M.first_entry(F.col("m"))).first()[:] == ("t", "s")
+
+
+def test_targets_and_report(spark):
+    from quillgrain.operators import builders as D
+    from quillgrain.operators import metrics as N
+
+    assert D.instruction_targets() == {"refusals": 1625, "answerables": 4875, "anchors": 1706, "anchor_refusals": 406}
+    assert D.eval_targets() == {"unanswerable": 79, "answerable": 161}
+    rows = [("base", True, True, 2, 1, 0.3, True, "answerable", False), ("base", True, True, 3, 3, 0.1, True, "answerable", False)]
+    judged = spark.createDataFrame(rows, "field string, parsed_ok boolean, valid boolean, n_citations int, n_exact int, covered double, first_exact boolean, kind string, refused boolean")
+    m = N.metrics(judged, "field").first()
+    assert (m.citation_rate, m.grounded_rate, m.refusal_rate) == (0.8, 0.5, 0.0)
+    report = N.report_markdown(N.compare(N.metrics(judged, "field"), "base", "base"))
+    assert "| citation_rate | 80.0% | 80.0% | flat |" in report
+
+
+def test_clusters(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=3) * 0.05 + np.eye(3)[i % 3] * 4).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert R.best_k(df, "vec_id", "embedding", 2, 4) == 3
+    v = spark.createDataFrame([("b a a",)], "t string").select(R.hashed_embedding(F.col("t"), 8)).first()[0]
+    assert sum(v) == 3 and len(v) == 8
