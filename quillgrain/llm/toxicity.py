@@ -199,7 +199,8 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
         cand_doc.extend([len(abusive)] * len(words))
     cand_doc = np.array(cand_doc)
     is_seed = cand_doc == len(abusive)
-    hits = np.array([[any(re.search(rf"\b{w}\b", s) if w.isascii() else w in s for w in words) for words in seeds.values()] for s in cand], dtype=bool)
+    finders = [re.compile("|".join(rf"\b{w}\b" if w.isascii() else re.escape(w) for w in words)) for words in seeds.values()]
+    hits = np.array([[f.search(s) is not None for f in finders] for s in cand], dtype=bool)
 
     pool: list[str] = []
     for text in clean:
