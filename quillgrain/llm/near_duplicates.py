@@ -24,6 +24,8 @@ from .common import normalise
 
 #: Overlaps with a leader that a task remembers; an answer that is not there is computed directly.
 REMEMBERED = 4096
+#: Into how many parts a leader's pairs are dealt, so that a hot group of near-duplicates is many tasks' work.
+PARTS = 1024
 
 
 def _terms(norm: str, scope: str | None = None) -> np.ndarray:
@@ -56,7 +58,7 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     leaders = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("lead"))
     led = pairs.join(leaders, "a", "left").withColumn("lead", F.coalesce("lead", "a"))
     left, right = classes.select(F.col("id").alias("a"), F.col("norm").alias("ta")), classes.select(F.col("id").alias("b"), F.col("norm").alias("tb"))
-    rows = led.join(left, "a").join(right, "b").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(16)))
+    rows = led.join(left, "a").join(right, "b").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
     rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "a", "b").select("lead", "a", "b", "ta", "tb")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
