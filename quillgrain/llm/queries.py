@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrain.functions.text import BLANK
-from quillgrain.session import table
+from quillgrain.session import table, write_shared
 
 from . import common, defects, leaks, near_duplicates, overlap, packing, repetition, splitting, toxicity, truncation
 
@@ -18,24 +18,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = common.replies(spark, sf_dir, ("preference_pairs", "call_log"))
-    return truncation.measure(rows, ["tbl", "row_key", "field", "source"], "reply", "prompt")
+    """Lengths and endings of the values, written once: the histograms and the flags both read them."""
+    rows = common.replies(spark, sf_dir, ("preference_pairs", "call_log")).where("field <> 'rejected'")
+    return write_shared(truncation.measure(rows, ["tbl", "row_key", "field", "source"], "reply", "prompt"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the pairs' chosen answers and the call log that a limit or a transfer cut."""
-    rows = _measured(spark, sf_dir).where("field <> 'rejected'")
+    rows = _measured(spark, sf_dir)
     return truncation.cut_values(rows, ["tbl", "field", "source"], ["tbl", "row_key", "field"]).select("tbl", "row_key", "field").distinct()
 
 
 def p2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limits that show in each source's lengths."""
-    return truncation.length_limits(_measured(spark, sf_dir).where("field <> 'rejected'"), ["tbl", "field", "source"])
+    return truncation.length_limits(_measured(spark, sf_dir), ["tbl", "field", "source"])
 
 
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and cut values for each source (pairs) and model type (calls); a call counts once."""
-    rows = _measured(spark, sf_dir).where("field <> 'rejected'")
+    rows = _measured(spark, sf_dir)
     cut = truncation.cut_values(rows, ["tbl", "field", "source"], ["tbl", "row_key", "field"])
     count = lambda df, name: df.groupBy("tbl", "field", "source").agg(F.countDistinct("row_key").alias(name))
     a, b = count(rows, "n_values"), count(cut, "n_cut")
