@@ -261,10 +261,19 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
             model.links[k, :k] = v
         if final:
             break
-        # the model's own choice among the abusive documents, and the clean sentences it mistakes
-        p = _sigmoid(np.bincount(feats.rows, weights=model.weights[feats.cols, -1], minlength=feats.n) * feats.norm + model.bias[-1])
+        # the choice among the abusive documents by models that did not see the document: a sentence
+        # that no other document supports, as in a wrongly labelled one, is dropped
+        p = np.zeros(feats.n)
+        for f in range(folds):
+            fit = np.flatnonzero(fold != f)
+            place = np.full(n, -1)
+            place[fit] = np.arange(len(fit))
+            ok = place[rows] >= 0
+            w, _, b = _fit_one(place[rows[ok]], cols[ok], norm[fit], np.zeros((len(fit), 0)), y_toxic[fit])
+            own = cand_doc % folds == f
+            p[own] = _sigmoid(np.bincount(feats.rows, weights=w[feats.cols], minlength=feats.n) * feats.norm + b)[own]
         p[is_seed] = 1.0
-        chosen = _pick(p, cand_doc, 0.15)
+        chosen = _pick(p, cand_doc, 0.3)
         if (~is_seed[chosen]).sum() >= ENOUGH:
             chosen = chosen[~is_seed[chosen]]  # bare words would teach that a short sentence is abusive
         hard: list[str] = []
