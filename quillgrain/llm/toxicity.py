@@ -194,14 +194,6 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
         for s in _sentences_of(text):
             cand.append(s)
             cand_doc.append(d)
-    for c, words in seeds.items():  # the seed words themselves, so that a category is never without a case
-        cand.extend(words)
-        cand_doc.extend([len(abusive)] * len(words))
-    cand_doc = np.array(cand_doc)
-    is_seed = cand_doc == len(abusive)
-    finders = [re.compile("|".join(rf"\b{w}\b" if w.isascii() else re.escape(w) for w in words)) for words in seeds.values()]
-    hits = np.array([[f.search(s) is not None for f in finders] for s in cand], dtype=bool)
-
     pool: list[str] = []
     for text in clean:
         pool.extend(_sentences_of(text))
@@ -210,6 +202,16 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
     step = max(1, len(pool) // negatives)
     neg = pool[::step] or ["ok"]
 
+    # the seed words, set into clean sentences so that only the word tells: no category is without a case
+    for i, w in enumerate(w for words in seeds.values() for w in words):
+        host = pool[i * 37 % len(pool)] if pool else ""
+        cand.append(f"{host[: len(host) // 2]} {w} {host[len(host) // 2 :]}")
+        cand_doc.append(len(abusive))
+    cand_doc = np.array(cand_doc)
+    is_seed = cand_doc == len(abusive)
+    finders = [re.compile("|".join(rf"\b{w}\b" if w.isascii() else re.escape(w) for w in words)) for words in seeds.values()]
+    hits = np.array([[f.search(s) is not None for f in finders] for s in cand], dtype=bool)
+
     feats = Sentences(cand, tables)
     common = np.bincount(Sentences(pool[:: max(1, len(pool) // 20000)] or ["ok"], tables).cols, minlength=_SIZE) > 1
     rare = 1.0 - np.bincount(feats.rows, weights=common[feats.cols], minlength=feats.n) * feats.norm**2
