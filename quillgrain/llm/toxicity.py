@@ -202,10 +202,11 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
     step = max(1, len(pool) // negatives)
     neg = pool[::step] or ["ok"]
 
-    # the seed words, set into clean sentences so that only the word tells: no category is without a case
+    # the seed words, so that no category is without a case; where they are all there is to learn
+    # from, they are set into clean sentences, or else a short sentence would be a cue
     for i, w in enumerate(w for words in seeds.values() for w in words):
-        host = pool[i * 37 % len(pool)] if pool else ""
-        cand.append(f"{host[: len(host) // 2]} {w} {host[len(host) // 2 :]}")
+        host = pool[i * 37 % len(pool)] if pool and not abusive else ""
+        cand.append(f"{host[: len(host) // 2]} {w} {host[len(host) // 2 :]}".strip())
         cand_doc.append(len(abusive))
     cand_doc = np.array(cand_doc)
     is_seed = cand_doc == len(abusive)
