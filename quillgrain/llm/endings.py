@@ -17,7 +17,8 @@ _BULLET = re.compile(r"^\s*(?:[-*•·+]|\d{1,3}[.)、])\s*")
 _SCORE = re.compile(r"[:：]\s*[+\-]?\d+(?:\s*/\s*\d+)?$")
 _REFERENCE = re.compile(r"^(?:see|cf\.?|参见|见)\s*[^.!?。！？]{0,24}?\d+(?:\.\d+)*[^\w]*$", re.IGNORECASE)
 _LOOP = re.compile(r"(.{1,24}?)\1{3,}.{0,24}$", re.DOTALL)
-_TAIL = re.compile(r"(?:在线等|谢谢|多谢|完|以上|thanks|thank you|regards)$", re.IGNORECASE)
+# a farewell is a short clause of its own; 完 and 以上 also open clauses (，完成), so only a sentence's end or a line start sets them off
+_TAIL = re.compile(r"(?:(?:^|[\n.!?;。！？；…\"”’」』】）)\]~～—-])[^\S\n]*(?:(?:全文|正文|本文)?完|以上)|(?:^|[\n.!?;:,。！？；：，、…\"”’」』】）)\]~～—-])[^\S\n]*(?:[㐀-鿿]{0,4}在线等|[㐀-鿿]{0,2}(?:谢谢|多谢)|(?:many |and |and many )?(?:thanks|thank you)|(?:(?:with )?(?:best|kind|warm) )?regards))$", re.IGNORECASE)
 _FOUR = re.compile(r"^[㐀-鿿]{4}$")
 _ANSWER_STRING = re.compile(r'"answer"\s*:\s*"((?:[^"\\]|\\.)*)', re.DOTALL)
 

@@ -136,6 +136,14 @@ def test_endings():
     assert endings.Reply('{"answer": "x. y').state == endings.BROKEN and endings.Reply('{"answer": "x.",}').state == endings.CLOSED
 
 
+def test_a_farewell_is_a_clause_of_its_own():
+    e = endings.ending
+    for cut in ("先看计数器。流程从续约命令开始，到合并完", "中间最多允许90次重试。认领完", "先提交合并指示的请求，完", "隔离账本的剩余值在三十天及以上", "这里要向值班的同事说声谢谢", "The whole team would like to say thank you"):
+        assert e(cut) == endings.BROKEN, cut
+    for whole in ("三步都做到了，缺一不可。完", "三步都做到了，缺一不可。\n全文完", "三步都做到了，缺一不可。以上", "请尽快回复这个问题，谢谢", "我左右为难，因为时间排得太满。急，在线等", "主张玩笑不碰短处。急，其实在线等", "请尽快回复这个问题，先谢谢", "Please confirm the two dates. Many thanks", "Please confirm the dates.\nBest regards"):
+        assert e(whole) == endings.WHOLE, whole
+
+
 QUESTION = "请说明两盏灯之间的关系。"
 
 
@@ -205,3 +213,7 @@ def test_toxicity_learns(spark):
     assert sum(a == b for a, b in held) >= 98 and not got[900] and not got[901]
     none = toxicity.score_documents(spark.createDataFrame(docs[:3], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"), "doc_id", "text")
     assert none.count() == 3
+
+
+def test_a_cut_inside_a_word_that_looks_like_a_farewell(tagger):
+    assert defects.reply_defect("左灯先亮。流程从续约命令开始，到合并完", QUESTION, False, tagger) == "truncated"
