@@ -103,7 +103,7 @@ def features(reply: Reply, question: str) -> tuple[list[list[int]], list[int]]:
     out, letters = [], []
     for i, c in enumerate(parts):
         f = [F_BIAS]
-        n = normalise(c) if near or len(parts) < 40 else c
+        n = normalise(c)
         letters.append(max(1, len(n)))
         if cue and REFUSAL_CUES.search(c):
             f.append(F_CUE)
@@ -112,7 +112,7 @@ def features(reply: Reply, question: str) -> tuple[list[list[int]], list[int]]:
                 f.append(F_ECHO)
             elif len(n) > 4 and sum(n[j : j + 4] in grams for j in range(len(n) - 3)) >= 0.6 * (len(n) - 3):
                 f.append(F_ECHO_PART)
-        spoken = language(c) if mixed and len(parts) < 200 else whole
+        spoken = language(c) if mixed else whole
         if asked and spoken and spoken not in wanted and sum(map(len, _LATIN.findall(c))) >= 4:
             f.append(F_FOREIGN)
         elif not spoken:

@@ -217,3 +217,12 @@ def test_toxicity_learns(spark):
 
 def test_a_cut_inside_a_word_that_looks_like_a_farewell(tagger):
     assert defects.reply_defect("左灯先亮。流程从续约命令开始，到合并完", QUESTION, False, tagger) == "truncated"
+
+
+@pytest.mark.parametrize("n", [5, 60, 180, 300])
+def test_a_clause_is_read_alike_in_replies_of_any_size(tagger, n):
+    own, foreign = "左灯先亮，右灯在三秒之后亮，然后两盏灯一起亮，最后一起熄灭。", "The left lamp lights up first, and the right one follows. "
+    seq, letters = defects.features(endings.Reply((own + foreign) * n), QUESTION)
+    assert letters == [len(common.normalise(own)), len(common.normalise(foreign))] * n
+    assert [defects.F_FOREIGN in f for f in seq] == [False, True] * n
+    assert defects.reply_defect(own * n + foreign * 2 * n, QUESTION, False, tagger) == "language"
