@@ -49,9 +49,6 @@ def _cut(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
             # the rest must still fit into the pieces that are left
             least = max(start + 1, n - (count - k) * (limit - overlap))
             most = min(start + room, n - 1)
-            if least > most:
-                fits = False
-                break
             found = None
             reach = max(1.0, (n / count) / 4)
             for spread in (reach, float(n)):  # near the target first, then anywhere that is allowed
@@ -64,29 +61,61 @@ def _cut(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
                 if found:
                     break
             if found is None:
-                # no pause between least and most: an earlier one costs a piece, none at all forces the cut
-                early = [at[bisect_right(at, most) - 1] for at in places if bisect_right(at, most) and at[bisect_right(at, most) - 1] > start]
-                if early:
+                # no pause between least and most: an earlier one costs a piece, none at all takes the
+                # room of the overlap or forces the cut
+                if _last(places, start, most):
                     fits = False
                     break
-                found = (most, "forced")
+                found = _widened(text, limit, start, most, ends, places)
+                if found is None and least > most:
+                    fits = False
+                    break
+                found = found or (most, "forced")
             ends.append(found)
             start = found[0]
-        if fits and n - start <= (limit - overlap if ends else limit):
-            return [*ends, (n, "end")]
+            if start == n:
+                return ends
+        if fits:
+            room = limit - overlap if ends else limit
+            if n - start <= room or not _last(places, start, start + room) and _widened(text, limit, start, start + room, ends, places) == (n, "end"):
+                return [*ends, (n, "end")]
         count += 1
         if count > 2 * n // max(1, limit - overlap) + 8:
             return _greedy(text, limit, overlap, places)
 
 
+def _last(places: list[list[int]], start: int, most: int) -> tuple[int, str] | None:
+    """The last pause after ``start`` up to ``most``, of the strongest kind that ends there."""
+    best = max(((at[i - 1], -k) for k, at in enumerate(places) if (i := bisect_right(at, most)) and at[i - 1] > start), default=None)
+    return (best[0], BOUNDARIES[-best[1]][0]) if best else None
+
+
+def _widened(text: str, limit: int, start: int, most: int, ends: list[tuple[int, str]], places: list[list[int]]) -> tuple[int, str] | None:
+    """The end of a piece whose run reaches beyond ``most`` but fits the limit, once this piece's
+    overlap gives way; None where the run does not fit or is the rest of a forced cut.
+    """
+    wide = min(start + limit, len(text))
+    if most >= wide or ends and ends[-1][1] == "forced":
+        return None
+    if len(text) <= wide and not any(at[i] < len(text) for at in places if (i := bisect_right(at, most)) < len(at)):
+        return len(text), "end"
+    first = min(((at[i], k) for k, at in enumerate(places) if (i := bisect_right(at, most)) < len(at) and at[i] <= wide), default=None)
+    if first:
+        return first[0], BOUNDARIES[first[1]][0]
+    # the run fits, its marks do not: they go to the next piece
+    run = PAUSE.search(text, most)
+    return (wide, "forced") if run and run.start() <= wide else None
+
+
 def _greedy(text: str, limit: int, overlap: int, places: list[list[int]]) -> list[tuple[int, str]]:
     """The last allowed pause each time, a forced cut where there is none; ends for any text."""
     n, start, ends = len(text), 0, []
     while n - start > (limit - overlap if ends else limit):
         most = start + (limit - overlap if ends else limit)
-        best = max(((at[bisect_right(at, most) - 1], -i) for i, at in enumerate(places) if bisect_right(at, most) and at[bisect_right(at, most) - 1] > start), default=None)
-        ends.append((best[0], BOUNDARIES[-best[1]][0]) if best else (most, "forced"))
+        ends.append(_last(places, start, most) or _widened(text, limit, start, most, ends, places) or (most, "forced"))
         start = ends[-1][0]
+        if start == n:
+            return [*ends[:-1], (n, "end")]
     return [*ends, (n, "end")]
 
 
@@ -94,17 +123,14 @@ def split_text(text: str | None, limit: int = 2200, overlap: int = 200) -> list[
     """(start, own start, end, kind of the end) of each piece of the trimmed text.
 
     ``own start - start`` characters repeat the end of the piece before: ``overlap`` of them, fewer
-    only where a run without any pause needs the room. The own parts in order give the trimmed text
+    only in a piece that begins with a run without any pause and needs the room to hold it. The own parts in order give the trimmed text
     back. Null and blank texts have no piece.
     """
     body = (text or "").strip()
     if not body:
         return []
-    ends = _cut(body, limit, overlap)
-    if any(kind == "forced" for _, kind in ends) and longest_run(body) <= limit:
-        ends = _cut(body, limit, 0)  # a run fits a piece once the overlap gives way
     out, own = [], 0
-    for end, kind in ends:
+    for end, kind in _cut(body, limit, overlap):
         out.append((max(0, own - min(overlap, limit - (end - own))) if own else 0, own, end, kind))
         own = end
     return out

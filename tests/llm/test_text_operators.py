@@ -226,3 +226,16 @@ def test_a_clause_is_read_alike_in_replies_of_any_size(tagger, n):
     assert letters == [len(common.normalise(own)), len(common.normalise(foreign))] * n
     assert [defects.F_FOREIGN in f for f in seq] == [False, True] * n
     assert defects.reply_defect(own * n + foreign * 2 * n, QUESTION, False, tagger) == "language"
+
+
+def test_only_the_piece_of_a_long_run_gives_up_overlap():
+    sentence = "本段说明两盏灯之间的先后次序，以及相隔的秒数。"
+    before = sentence * 700
+    text = before + "x" * 2150 + "。" + sentence * 700
+    pieces = splitting.split_text(text)
+    less = [(own, own - start) for start, own, *_ in pieces[1:] if own - start < 200]
+    assert less == [(len(before), 2200 - 2151)]
+    assert all(kind != "forced" for *_, kind in pieces) and all(end - start <= 2200 for start, _, end, _ in pieces)
+    # a longer run elsewhere in the row, which is cut by force, costs this one nothing
+    pieces = splitting.split_text(text + "y" * 5000 + "。")
+    assert any(text[own:end] == "x" * 2150 + "。" for _, own, end, _ in pieces)
