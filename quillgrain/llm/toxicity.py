@@ -32,7 +32,9 @@ BITS = 18
 _SIZE = 1 << BITS
 #: Most labelled documents that are used, abusive and clean; the documented bound of the fit.
 MAX_ABUSIVE, MAX_CLEAN = 2000, 5000
-#: A sentence with fewer n-grams says nothing; one with few has its sum shrunk as if it had FEW_GRAMS.
+#: A sentence of at most SHORT characters, its mark included, is read together with its neighbour.
+SHORT = 3
+#: Marks and numbers with fewer n-grams say nothing; a sentence with few has its sum shrunk as if it had FEW_GRAMS.
 LEAST_GRAMS, FEW_GRAMS = 6, 50.0
 #: From so many sentences of labelled documents on, the seed words themselves are no cases any more.
 ENOUGH = 60
@@ -50,8 +52,36 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return keep, fold
 
 
-def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, the sentence number of each, and the text number of each sentence."""
+def _letters(cp: np.ndarray) -> np.ndarray:
+    """Which code points of lower-case text are letters, not marks, blanks or digits, near enough."""
+    return (cp >= 0x61) & ((cp < 0x7B) | (cp > 0xBF)) & ((cp < 0x2000) | (cp > 0x206F)) & ((cp < 0x3000) | (cp > 0x303F))
+
+
+def _join_short(cp: np.ndarray, sent: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Sentence numbers in which a short sentence with letters belongs to the sentence with letters before
+    it, or else after it, in the same text."""
+    size = np.bincount(sent)
+    said = np.flatnonzero(np.bincount(sent, weights=_letters(cp)) > 0)
+    short = np.flatnonzero(size[said] <= SHORT)
+    if not len(short):
+        return sent
+    of = doc[np.cumsum(size)[said] - 1]
+    back = (short > 0) & (of[short - 1] == of[short])
+    on = ~back & (short + 1 < len(said)) & (of[np.minimum(short + 1, len(said) - 1)] == of[short])
+    open_ = np.zeros(len(size) + 1, dtype=np.int32)
+    np.add.at(open_, said[np.where(back, short - 1, short)[back | on]], 1)
+    np.add.at(open_, said[np.where(on, short + 1, short)[back | on]], -1)
+    number = np.zeros(len(size), dtype=np.int32)
+    np.cumsum(np.cumsum(open_)[: len(size) - 1] == 0, out=number[1:])
+    return number[sent]
+
+
+def _stream(texts: list[str], join: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, the sentence number of each, and the text number of each sentence.
+
+    With ``join`` a short sentence counts to its neighbour. The fit reads short ones alone,
+    or else shortness would be a cue where labels are few.
+    """
     body = "\x00".join(t.replace("\x00", " ") if t else "" for t in texts) + "\x00"
     body = _BLANK.sub(" ", _TAG.sub(" ", unicodedata.normalize("NFKC", body).lower()))
     cp = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -61,9 +91,11 @@ def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     end |= dot
     sent = np.zeros(len(cp), dtype=np.int32)
     np.cumsum(end[:-1], out=sent[1:])
-    first = np.flatnonzero(np.concatenate([[True], end[:-1]]))
     doc = np.zeros(len(cp), dtype=np.int32)
     np.cumsum((cp == 0)[:-1], out=doc[1:])
+    if join:
+        sent = _join_short(cp, sent, doc)
+    first = np.flatnonzero(np.concatenate([[True], sent[1:] != sent[:-1]]))
     return cp, sent, doc[first]
 
 
@@ -134,7 +166,7 @@ def _fit_one(rows, cols, norm, extra, y, steps: int = 30, l2: float = 1e-4):
 
 
 def _sentences_of(text: str) -> list[str]:
-    cp, sent, _ = _stream([text])
+    cp, sent, _ = _stream([text], join=False)
     cuts = np.flatnonzero(np.diff(sent)) + 1
     chars = "".join(map(chr, cp.tolist()))
     parts = [chars[a:z].strip("\x00 \n") for a, z in zip([0, *cuts], [*cuts, len(chars)])]
@@ -167,7 +199,7 @@ class ToxicChain:
             sums[s[starts]] += np.add.reduceat(self.weights[x], starts, axis=0)
             count[s[starts]] += np.add.reduceat((x < _SIZE).astype(np.int32), starts)
         p = self.chain(sums, 1.0 / np.sqrt(np.maximum(FEW_GRAMS, count)))
-        p[count < LEAST_GRAMS] = 0.0
+        p[(count < LEAST_GRAMS) & (np.bincount(sent, weights=_letters(cp), minlength=n) == 0)] = 0.0
         return p, doc
 
 

@@ -239,3 +239,19 @@ def test_only_the_piece_of_a_long_run_gives_up_overlap():
     # a longer run elsewhere in the row, which is cut by force, costs this one nothing
     pieces = splitting.split_text(text + "y" * 5000 + "。")
     assert any(text[own:end] == "x" * 2150 + "。" for _, own, end, _ in pieces)
+
+
+def test_short_lines_are_scored():
+    tables, model = toxicity._tables(), toxicity.ToxicChain()
+    model.weights[np.unique(toxicity.Sentences(["傻逼"], tables).cols), -1], model.bias[-1] = 20.0, -1.0  # what a fit may learn
+    texts = ["他走到市场买了一顶帽子。\n傻逼！\n饭后大家散步。", "他走到市场买了一顶帽子。\n好的！\n饭后大家散步。", "傻逼！", "12\n!"]
+    p, doc = model.score(texts, tables)
+    top = np.zeros(len(texts) + 1)
+    np.maximum.at(top, doc, p[:, -1])
+    assert top[0] > 0.6 > top[1] and top[2] > 0.6 and top[3] == 0
+
+
+def test_short_sentences_stay_in_their_text():
+    cp, sent, doc = toxicity._stream(["好的事情很多。傻逼！\n后来他走了。", "滚！他来了很久。", "去死!", None])
+    parts = ["".join(map(chr, cp[sent == i])).strip("\x00 \n") for i in range(len(doc))]
+    assert [(d, x) for d, x in zip(doc, parts) if x] == [(0, "好的事情很多。傻逼!"), (0, "后来他走了。"), (1, "滚!他来了很久。"), (2, "去死!")]
