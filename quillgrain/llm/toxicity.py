@@ -2,8 +2,8 @@
 
 The reviewed sample labels whole documents; one sentence makes a document abusive. Training
 therefore picks the sentences of abusive documents that carry the label (seed words and rarity
-first, then the model itself), with every sentence of clean documents as a negative, the
-highest-scoring of them mined as hard negatives. The chain predicts sexual, threat, hate, insult
+first, then the model itself). Negatives are about 5000 (below 10,000) sentences of the clean
+documents, picked by a hash over all of them, and the 10,000 highest-scoring as hard negatives. The chain predicts sexual, threat, hate, insult
 and at last the reviewed label; each later model sees the earlier probabilities, in training the
 out-of-fold ones. Features are hashed character n-grams of two streams: the text as it is, and its
 letters with look-alikes folded, in which spaced-out and starred words read as plain ones.
@@ -11,6 +11,7 @@ letters with look-alikes folded, in which spaced-out and starred words read as p
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -216,6 +217,16 @@ def _pick(scores: np.ndarray, docs: np.ndarray, least: float) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+def _by_hash(pool: list[str]) -> list[str]:
+    """The sentences in the order of a hash of place and text, so that any first part is spread over all."""
+    return [s for _, _, s in sorted((hashlib.blake2b(f"{i} {s}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), i, s) for i, s in enumerate(pool))]
+
+
+def _highest(scored: list[tuple[float, str]], most: int) -> list[str]:
+    """The sentences of the highest scores, at most so many."""
+    return [s for _, s in sorted(scored, key=lambda x: (-x[0], x[1]))[:most]]
+
+
 def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds: int = 2) -> ToxicChain:
     """The chain from labelled documents. Without an abusive document only the seeds are known."""
     tables = _tables()
@@ -229,10 +240,9 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
     pool: list[str] = []
     for text in clean:
         pool.extend(_sentences_of(text))
-        if len(pool) > 20 * negatives:
-            break
-    step = max(1, len(pool) // negatives)
-    neg = pool[::step] or ["ok"]
+    pool = _by_hash(pool)
+    easy = pool[: -(-len(pool) // max(1, len(pool) // negatives))]
+    neg = easy or ["ok"]
 
     # the seed words, so that no category is without a case; where they are all there is to learn
     # from, they are set into clean sentences, or else a short sentence would be a cue
@@ -246,7 +256,7 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
     hits = np.array([[f.search(s) is not None for f in finders] for s in cand], dtype=bool)
 
     feats = Sentences(cand, tables)
-    common = np.bincount(Sentences(pool[:: max(1, len(pool) // 20000)] or ["ok"], tables).cols, minlength=_SIZE) > 1
+    common = np.bincount(Sentences(pool[:20000] or ["ok"], tables).cols, minlength=_SIZE) > 1
     rare = 1.0 - np.bincount(feats.rows, weights=common[feats.cols], minlength=feats.n) * feats.norm**2
     scores = np.minimum(1.0, rare * 0.8 + hits.any(1) * 0.35)
     scores[is_seed] = 1.0
@@ -311,7 +321,7 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
         chosen = _pick(p, cand_doc, 0.3)
         if (~is_seed[chosen]).sum() >= ENOUGH:
             chosen = chosen[~is_seed[chosen]]  # bare words would teach that a short sentence is abusive
-        hard: list[str] = []
+        hard: list[tuple[float, str]] = []
         for at in range(0, len(clean), 400):
             part = clean[at : at + 400]
             q, doc = model.score(part, tables)
@@ -320,8 +330,8 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
                 f = Sentences(own, tables) if own else None
                 if f is not None:
                     z = _sigmoid(np.bincount(f.rows, weights=model.weights[f.cols, -1], minlength=f.n) * f.norm + model.bias[-1])
-                    hard.extend(s for s, x in zip(own, z) if x > 0.1 and len(s) > 2)
-        neg = [*pool[::step], *hard[: 2 * negatives]] or ["ok"]
+                    hard.extend((float(x), s) for s, x in zip(own, z) if x > 0.1 and len(s) > 2)
+        neg = [*easy, *_highest(hard, 2 * negatives)] or ["ok"]
     return model
 
 
