@@ -31,6 +31,17 @@ def longest_run(text: str) -> int:
     return max(map(len, PAUSE.split(text)), default=0)
 
 
+def run_around(text: str, at: int) -> int:
+    """Length of the run without a pause that a cut at ``at`` divides; 0 where it falls at a pause."""
+    if PAUSE.match(text[at - 1]) or PAUSE.match(text[at]):
+        return 0
+    after = PAUSE.search(text, at)
+    start = at
+    while start and not PAUSE.match(text[start - 1]):
+        start -= 1
+    return (after.start() if after else len(text)) - start
+
+
 def _cut(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
     """Ends of the pieces' own parts with the kind of each end; the last is (len(text), "end")."""
     n = len(text)
@@ -70,7 +81,10 @@ def _cut(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
                 if found is None and least > most:
                     fits = False
                     break
-                found = found or (most, "forced")
+                found = found or _hard(text, start, most)
+                if found[0] < least:
+                    fits = False
+                    break
             ends.append(found)
             start = found[0]
             if start == n:
@@ -84,6 +98,16 @@ def _cut(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
             return _greedy(text, limit, overlap, places)
 
 
+def _hard(text: str, start: int, most: int) -> tuple[int, str]:
+    """A cut where no boundary ends: at the last mark whose closers would not fit, else inside a run."""
+    if PAUSE.match(text[most]):
+        return most, "edge"
+    at = most
+    while at > start + 1 and most - at < 8 and not PAUSE.match(text[at - 1]):
+        at -= 1
+    return (at, "edge") if at > start + 1 and PAUSE.match(text[at - 1]) else (most, "forced")
+
+
 def _last(places: list[list[int]], start: int, most: int) -> tuple[int, str] | None:
     """The last pause after ``start`` up to ``most``, of the strongest kind that ends there."""
     best = max(((at[i - 1], -k) for k, at in enumerate(places) if (i := bisect_right(at, most)) and at[i - 1] > start), default=None)
@@ -104,7 +128,7 @@ def _widened(text: str, limit: int, start: int, most: int, ends: list[tuple[int,
         return first[0], BOUNDARIES[first[1]][0]
     # the run fits, its marks do not: they go to the next piece
     run = PAUSE.search(text, most)
-    return (wide, "forced") if run and run.start() <= wide else None
+    return (run.start(), "edge") if run and run.start() <= wide else None
 
 
 def _greedy(text: str, limit: int, overlap: int, places: list[list[int]]) -> list[tuple[int, str]]:
@@ -112,7 +136,7 @@ def _greedy(text: str, limit: int, overlap: int, places: list[list[int]]) -> lis
     n, start, ends = len(text), 0, []
     while n - start > (limit - overlap if ends else limit):
         most = start + (limit - overlap if ends else limit)
-        ends.append(_last(places, start, most) or _widened(text, limit, start, most, ends, places) or (most, "forced"))
+        ends.append(_last(places, start, most) or _widened(text, limit, start, most, ends, places) or _hard(text, start, most))
         start = ends[-1][0]
         if start == n:
             return [*ends[:-1], (n, "end")]
@@ -140,8 +164,9 @@ def split_oversized(df: DataFrame, key: str, text: str, section: str, limit: int
     """Pieces of the rows whose trimmed text is longer than ``limit`` characters.
 
     Columns: key, section, piece_no (from 1), n_pieces, start, own_start, end_at, cut
-    (``paragraph line sentence clause space forced`` or ``end``), boundary (of the row: ``forced``
-    where a run without pause is longer than the limit, else ``natural``), piece. Null or short
+    (``paragraph line sentence clause space``, ``edge`` between a run that fills its piece and its
+    mark, ``forced`` inside a run, or ``end``), boundary (of the row: ``forced`` where a piece ends
+    inside a run without pause that is longer than the limit, else ``natural``), piece. Null or short
     texts give no row, null sections stay null, equal rows give their pieces each; other columns
     are ignored. One pass, no shuffle.
     """
@@ -154,8 +179,8 @@ def split_oversized(df: DataFrame, key: str, text: str, section: str, limit: int
                 body = body.strip()
                 if len(body) <= limit:
                     continue
-                kind_of_row = "forced" if longest_run(body) > limit else "natural"
                 pieces = split_text(body, limit, overlap)
+                kind_of_row = "forced" if any(run_around(body, end) > limit for _, _, end, _ in pieces[:-1]) else "natural"
                 for i, (a, own, z, kind) in enumerate(pieces, 1):
                     rows.append((k, s, i, len(pieces), a, own, z, kind, kind_of_row, body[a:z]))
             yield pd.DataFrame(rows, columns=["k", "s", "piece_no", "n_pieces", "start", "own_start", "end_at", "cut", "boundary", "piece"])

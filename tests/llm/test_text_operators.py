@@ -266,3 +266,18 @@ def test_negatives_come_from_all_clean_documents(monkeypatch):
     used = {int(s.split()[1]) for texts in seen[2:] for s in texts if s.startswith("document") and len(texts) > 1}
     assert max(used) > 400
     assert toxicity._highest([(0.2, "a"), (0.9, "b"), (0.5, "c")], 2) == ["b", "c"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 50), st.sampled_from([". ", "。", " ", "\n\n", "!!!!", ".”)", ";  "])), min_size=1, max_size=14), st.integers(0, 6))
+def test_the_label_of_a_row_follows_from_its_cuts(parts, overlap):
+    body = "".join("x" * n + mark for n, mark in parts).strip()
+    pieces = splitting.split_text(body, 30, overlap)
+    assert "".join(body[own:end] for _, own, end, _ in pieces) == body and all(end - start <= 30 for start, _, end, _ in pieces)
+    assert any(splitting.run_around(body, end) > 30 for *_, end, _ in pieces[:-1]) == (splitting.longest_run(body) > 30)
+
+
+def test_a_comma_before_a_bracket_inside_a_sound_object():
+    reply = endings.Reply('{"answer": "see items [a,] and b.", "citations": []}')
+    assert reply.found["answer"] == "see items [a,] and b." and reply.state == endings.CLOSED
+    assert endings.Reply("no object, but [a,] list").found is None
