@@ -281,3 +281,23 @@ def test_a_comma_before_a_bracket_inside_a_sound_object():
     reply = endings.Reply('{"answer": "see items [a,] and b.", "citations": []}')
     assert reply.found["answer"] == "see items [a,] and b." and reply.state == endings.CLOSED
     assert endings.Reply("no object, but [a,] list").found is None
+
+
+def test_leaks_in_rounds_over_stored_arrays(spark, monkeypatch):
+    text = lambda n: "".join(random.Random(n).choices("abcdefgh中文字", k=80))
+    items = [(i, text(i)) for i in range(4)]
+    docs = [(d, text(900 + d) + text(d % 4)[10:70] + text(500 + d)) for d in range(12)] + [(77, None)]
+    frames = lambda: (spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string"))
+    find = lambda: sorted(tuple(r) for r in leaks.leaked_items(frames()[0], "doc_id", "text", frames()[1], "item_id", "text").collect())
+    once = find()
+    monkeypatch.setattr(leaks, "ITEM_CHARS", 170)
+    assert find() == once == [(d, d % 4, 60, 80, 10) for d in range(12)]
+
+
+@pytest.mark.parametrize("hits", [leaks.HITS, 50])
+def test_matches_of_repeating_texts(monkeypatch, hits):
+    monkeypatch.setattr(leaks, "HITS", hits)
+    texts, items = ["ab" * 90 + "x" + "ab" * 30, "a" * 300, "q" * 60], ["ba" * 70, "a" * 200]
+    best = leaks.longest_matches(texts, leaks.suffix_order(texts, 25, 16), items, leaks.suffix_order(items, 25), 40, 16)
+    assert {k: v[0] for k, v in best.items()} == {(0, 0): 140, (1, 1): 200}
+    assert best[0, 0][1:] == (-1, 0)
