@@ -5,8 +5,9 @@ histogram has a bounded number of entries whatever the number of texts; best-fit
 it, opening for each lot of equal pieces the permitted length that costs least per token, filling
 what is left by the largest sizes that fit, and at the end downsizing each container to the
 smallest permitted length that holds its contents. The plan is a list of patterns with
-multiplicities; texts join it by their rank within their size, which is counted in salted parts so
-that a hot size never meets in one task.
+multiplicities; texts join it by their rank within their size. A size is ranked in as many parts as
+its count asks for, so a hot size never meets in one task, and pieces that fill a container need no
+rank: each has a container of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from quillgrain.session import cut_lineage
 
-SALTS = 64
+#: Pieces of one size that are ranked together, about.
+PART = 200_000
 
 
 def _encoder(path: str):
@@ -95,24 +97,25 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int = 2048, lengths: t
     Columns: key, piece_no (from 1), n_pieces, start (token), n_tokens, container_id,
     container_length. An item is split only if it is longer than ``capacity``, into full containers
     and a rest. Items of size 0 or null need no room: one row with container_id null, n_tokens 0.
-    Equal keys and ties are separate items. An empty table gives no rows. A lost executor leads
-    to the same plan again, since ranks follow the key's order.
+    Equal keys and ties are separate items. An empty table gives no rows. Container numbers are
+    unique, not dense. A lost executor leads to the same plan again, since ranks follow the row
+    numbers of the checkpointed sizes.
     """
     lengths = tuple(sorted({x for x in lengths if x < capacity} | {capacity}))
-    item = cut_lineage(sized.select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")))  # counted once, used three times
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("int")
-    piece = item.withColumn("n_pieces", pieces).withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))))
-    piece = piece.select("k", "piece_no", "n_pieces", ((F.col("piece_no") - 1) * F.lit(capacity)).cast("long").alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - (F.col("piece_no") - 1) * F.lit(capacity)).cast("int").alias("s"))
-    piece = piece.withColumn("salt", F.pmod(F.xxhash64("k", "piece_no"), F.lit(SALTS)).cast("int"))
-    # at most capacity x SALTS rows
-    parts = piece.where("s > 0").groupBy("s", "salt").count()
-    grid = parts.toPandas()
-    totals = {int(s): int(c) for s, c in grid.groupby("s")["count"].sum().items()} if len(grid) else {}
+    # counted once, read several times; its partitions stay as they are, and with them the row numbers
+    item = cut_lineage(sized.select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")))
+    rest, full = F.col("n") % F.lit(capacity), F.floor(F.col("n") / F.lit(capacity)).cast("int")
+    item = item.withColumn("row", F.monotonically_increasing_id())
+    # at most ``capacity`` rows
+    totals = {int(r["s"]): int(r["c"]) for r in item.where("n > 0").groupBy(rest.cast("int").alias("s")).agg(F.count("*").alias("c")).collect() if r["s"]}
     plan = plan_patterns(totals, lengths)
-
-    grid = grid.sort_values(["s", "salt"])
-    grid["before"] = grid.groupby("s")["count"].cumsum() - grid["count"]
     spark = sized.sparkSession
+    parts = spark.createDataFrame([(s, -(-c // PART)) for s, c in totals.items()], "s int, parts int")
+    tail = item.where((F.col("n") > 0) & (rest > 0)).select("k", "row", (full + 1).alias("piece_no"), (full + 1).alias("n_pieces"), (F.col("n") - rest).alias("start"), rest.cast("int").alias("s"))
+    tail = tail.join(F.broadcast(parts), "s").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    # one row for each PART pieces, and one more for each size
+    grid = tail.groupBy("s", "salt").count().toPandas().sort_values(["s", "salt"])
+    grid["before"] = grid.groupby("s")["count"].cumsum() - grid["count"]
 
     # where the pieces of a size go: from rank r0 on, ``per`` to each container of the pattern
     slots, first, taken = [], 0, {}
@@ -145,8 +148,11 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int = 2048, lengths: t
             out["n_tokens"], out["container_id"], out["container_length"] = b["s"], box, length
             yield out
 
-    ranked = piece.where("s > 0").withColumn("r", (F.row_number().over(Window.partitionBy("s", "salt").orderBy("k", "piece_no")) - 1).cast("long"))
-    made = piece.select("k", "piece_no", "n_pieces", "start").schema.add("n_tokens", "integer").add("container_id", "long").add("container_length", "integer")
+    ranked = tail.withColumn("r", (F.row_number().over(Window.partitionBy("s", "salt").orderBy("row")) - 1).cast("long"))
+    made = item.select("k").schema.add("piece_no", "integer").add("n_pieces", "integer").add("start", "long").add("n_tokens", "integer").add("container_id", "long").add("container_length", "integer")
     out = ranked.mapInPandas(place, made)
-    none = piece.where("s <= 0").select("k", "piece_no", "n_pieces", "start", F.col("s").alias("n_tokens"), F.lit(None).cast("long").alias("container_id"), F.lit(None).cast("int").alias("container_length"))
+    filled = item.where(full > 0).select("k", F.explode(F.sequence(F.lit(1), full)).alias("piece_no"), (full + F.when(rest > 0, 1).otherwise(0)).alias("n_pieces"))
+    filled = filled.select("k", "piece_no", "n_pieces", ((F.col("piece_no") - 1) * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).alias("n_tokens"), (F.monotonically_increasing_id() + F.lit(first)).alias("container_id"), F.lit(capacity).alias("container_length"))
+    none = item.where("n <= 0").select("k", F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("n_tokens"), F.lit(None).cast("long").alias("container_id"), F.lit(None).cast("int").alias("container_length"))
+    out = out.unionByName(filled)
     return out.unionByName(none).withColumnRenamed("k", key)

@@ -301,3 +301,14 @@ def test_matches_of_repeating_texts(monkeypatch, hits):
     best = leaks.longest_matches(texts, leaks.suffix_order(texts, 25, 16), items, leaks.suffix_order(items, 25), 40, 16)
     assert {k: v[0] for k, v in best.items()} == {(0, 0): 140, (1, 1): 200}
     assert best[0, 0][1:] == (-1, 0)
+
+
+def test_pack_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 7)
+    rows = [("same", 33)] * 100 + [(f"d{i}", 128 * (i % 3) + i % 5) for i in range(200)]
+    out = packing.pack(spark.createDataFrame(rows, "k string, n long").repartition(3), "k", "n", 128, (32, 64, 128)).toPandas()
+    assert out.n_tokens.sum() == sum(n for _, n in rows) and (out.groupby("k").n_tokens.sum()["same"] == 3300)
+    boxes = out.dropna().groupby("container_id").agg(s=("n_tokens", "sum"), cap=("container_length", "max"), n=("n_tokens", "size"))
+    assert (boxes.s <= boxes.cap).all() and (boxes.n[boxes.s == 128] >= 1).all() and boxes.s.sum() / boxes.cap.sum() > 0.85
+    alone = out[out.n_tokens == 128]
+    assert alone.container_id.is_unique and not set(alone.container_id) & set(out[out.n_tokens < 128].container_id.dropna())
