@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import normalise, question_of
+from .common import PLACEHOLDERS, normalise, question_of
 from .endings import BROKEN, CLOSED, Reply
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -37,8 +37,6 @@ REFUSALS = {
     "en": ("I'm sorry, but I can't help with that.", "I must decline to answer.", "As a language model I am unable to answer this.", "No answer can be given here.", "I cannot say more; please consult a professional."),
     "ja": ("申し訳ありませんが、お答えできません。",),
 }
-# Replies that say nothing.
-PLACEHOLDERS = frozenset(normalise(x) for x in ("null", "none", "n/a", "na", "nan", "nil", "empty", "undefined", "tbd", "todo", "答", "回答", "答案", "answer", "无", "暂无", "output", "response", "回复", "json"))
 # Lead-ins before an echoed question.
 LEAD_INS = frozenset(normalise(x) for x in ("", "答", "问", "问题", "question", "q", "a", "answer", "您问的是", "你问的是", "you asked", "the question is", "your question", "the question", "回答", "您的问题是", "重复一下"))
 # Common words by which Latin-script languages differ.

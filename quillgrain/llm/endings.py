@@ -1,27 +1,37 @@
-"""How a text ends: closed, open but whole in its kind, or broken off."""
+"""How a text ends: with a final mark, open, or visibly broken, and whether an open end is a cut.
+
+Whether an open end is whole in its kind (a list of terms, a wish, a reference) or breaks off is
+learned, not listed: a logistic model over the last characters, the last clause and the shape of
+the last lines is taught by values known to be cut and scores every other one by models that did
+not see its text.
+"""
 
 from __future__ import annotations
 
 import json
+import math
 import re
+import zlib
+
+import numpy as np
 
 from .common import json_object
 
-CLOSED, WHOLE, BROKEN = 0, 1, 2
+CLOSED, OPEN, BROKEN = 0, 1, 2
 
 _MARKS = ".!?;。！？；"
 _CLOSERS = "\"'”’』」》】）)]>`*~～|"
-_TERMINAL = re.compile(r"[.!?;。！？；]+")
 _TRAILING_COMMA = re.compile(r",(\s*[}\]])")
 _BULLET = re.compile(r"^\s*(?:[-*•·+]|\d{1,3}[.)、])\s*")
-_SCORE = re.compile(r"[:：]\s*[+\-]?\d+(?:\s*/\s*\d+)?$")
-_REFERENCE = re.compile(r"^(?:see|cf\.?|参见|见)\s*[^.!?。！？]{0,24}?\d+(?:\.\d+)*[^\w]*$", re.IGNORECASE)
-_LOOP = re.compile(r"(.{1,24}?)\1{3,}.{0,24}$", re.DOTALL)
-# a farewell is a short clause of its own; 完 and 以上 also open clauses (，完成), so only a sentence's end or a line start sets them off
-_TAIL = re.compile(r"(?:(?:^|[\n.!?;。！？；…\"”’」』】）)\]~～—-])[^\S\n]*(?:(?:全文|正文|本文)?完|以上)|(?:^|[\n.!?;:,。！？；：，、…\"”’」』】）)\]~～—-])[^\S\n]*(?:[㐀-鿿]{0,4}在线等|[㐀-鿿]{0,2}(?:谢谢|多谢)|(?:many |and |and many )?(?:thanks|thank you)|(?:(?:with )?(?:best|kind|warm) )?regards))$", re.IGNORECASE)
-_FOUR = re.compile(r"^[㐀-鿿]{4}$")
+_FULL_STOP = re.compile(r"[.!?;。！？；]+\s|[!?;。！？；]+")
+_PARTS = re.compile(r"[,，、:：]")
 _ANSWER_STRING = re.compile(r'"answer"\s*:\s*"((?:[^"\\]|\\.)*)', re.DOTALL)
 
+#: Features of an ending, their hash space, and the folds of texts that are scored by a model of the others.
+WIDTH, SIZE, FOLDS = 20, 1 << 17, 3
+#: A feature that fewer endings of the fit have is left out.
+LEAST_SEEN = 10
+
 
 def lenient_object(text: str) -> dict | None:
     """An object, also one with commas before its closing marks."""
@@ -37,43 +47,149 @@ def is_symbol(char: str) -> bool:
     return 0x2190 <= code <= 0x2BFF or 0x1F000 <= code <= 0x1FAFF or code in (0xFE0F, 0x200D)
 
 
-def ending(text: str) -> int:
-    """CLOSED after a final mark, closing bracket, quote or symbol; WHOLE for an open end that its
-    kind explains (term list, run of four-character wishes, score line, reference, loop, a word or
-    two, a farewell); BROKEN for any other open end. Blank texts are WHOLE.
+def final_mark(text: str) -> int:
+    """CLOSED after a final mark, closing bracket, quote or symbol and for blank texts; BROKEN where
+    a character is cut or dots stand in for the rest of a word or sentence; else OPEN.
     """
     s = text.rstrip()
     if not s:
-        return WHOLE
+        return CLOSED
     last = s[-1]
-    if last == "�":
+    if last == "\ufffd":
         return BROKEN
     if last == "…":
         bare = s.rstrip("….")
         return CLOSED if not bare or bare[-1] in _MARKS or bare[-1] in _CLOSERS else BROKEN
-    if last in _MARKS or last in _CLOSERS or is_symbol(last):
-        return CLOSED
-    if last in ":：":
-        return WHOLE if len(s) <= 12 else BROKEN
+    return CLOSED if last in _MARKS or last in _CLOSERS or is_symbol(last) else OPEN
+
+
+def _shape(s: str) -> str:
+    """Kinds of characters in a row: han, kana, small and capital letters, digits, blanks, marks."""
+    out: list[str] = []
+    for c in s:
+        kind = "h" if "㐀" <= c <= "鿿" else "k" if "぀" <= c <= "ヿ" else "9" if c.isdigit() else "_" if c in " \t" else c if not c.isalpha() else "a" if c.islower() else "A"
+        if not out or out[-1] != kind:
+            out.append(kind)
+    return "".join(out)
+
+
+def cut_features(text: str) -> list[int]:
+    """WIDTH hashed features of an open end. The text's length has no part in them."""
+    s = text.rstrip()
+    low = s[-8:].lower()
     lines = s.split("\n")
     line = lines[-1]
-    fragment = _TERMINAL.split(line)[-1].strip() if not _SCORE.search(line) else line
-    if _LOOP.search(s[-160:]):
-        words = s[-160:].split()[1:]  # a loop is whole unless its last word breaks off
-        return BROKEN if len(words) > 3 and words[-1] not in words[:-1] else WHOLE
-    if _SCORE.search(line) or _REFERENCE.match(line.strip()) or _TAIL.search(s):
-        return WHOLE
-    if len(lines) > 1 and _BULLET.match(line):
-        items = [x for x in lines if _BULLET.match(x)]
-        bodies = [_BULLET.sub("", x).rstrip() for x in items]
-        if len(bodies) > 1 and not any(_TERMINAL.search(x) for x in bodies) and max(map(len, bodies)) <= 60:
-            return WHOLE
-    parts = [p.strip() for p in re.split(r"[,，、]", fragment)]
-    if len(parts) > 1 and fragment == s.strip() and _FOUR.match(parts[-1]) and all(_FOUR.match(p) for p in parts[2:]) and len(parts[0]) <= 10:
-        return WHOLE
-    if len(s) <= 12 and len(lines) == 1 and len(parts) == 1 and not _TERMINAL.search(s):
-        return WHOLE
-    return BROKEN
+    fragment = _FULL_STOP.split(line)[-1].strip()
+    clause = _PARTS.split(fragment)[-1].strip()
+    before = lines[-2].rstrip()[-1:] if len(lines) > 1 else "^"
+    before = before if before and (before in _MARKS or before in _CLOSERS or before in "^:：,，") else "x"
+    item = len(lines) > 1 and _BULLET.match(line) is not None
+    told = _FULL_STOP.search(s) is not None
+    alone = fragment == s.strip()
+    sizes = [len(x) for x in re.split(r"[,，、]", fragment)]
+    named = [f"{n} {low[-n:]}" for n in range(1, 6)]
+    named += [
+        f"word {fragment.split(' ')[-1].lower()[:12]}",
+        f"clause {min(len(clause), 12)}",
+        f"shape {_shape(fragment[-40:])[-12:]}",
+        f"line {_shape(line[:3])} {_shape(line[-8:])[-4:]}",
+        f"before {before} {item}",
+        f"fragment {min(int(math.log2(len(fragment) + 1)), 5)} {item}",
+        f"alone {min(len(fragment) // 4, 8) if alone else '-'}",
+        f"told {told} {item} {before}",
+        f"again {len(clause) > 1 and s[: -len(clause)].count(clause) > 0}",
+        f"equal {len(sizes) > 2 and len(set(sizes[1:])) == 1} {min(sizes[-1], 6)}",
+        f"prose {told and not item and bool(fragment)} {len(s) > 60}",
+        f"items {item} {item and not any(map(_FULL_STOP.search, lines[:-1])) and max(map(len, lines)) <= 60}",
+        f"tail {_shape(s[-3:])} {item}",
+        f"words {min(fragment.count(' '), 6)} {alone}",
+        f"turn {_shape(clause[:1])} {_shape(clause[-1:])} {len(sizes) > 1}",
+    ]
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % SIZE for x in named]
+
+
+def fold_of(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS
+
+
+# texts that teach the first rules where the data hold few open ends
+_SEED_PROSE = (
+    "先关进水阀。再打开排水阀，等水位降到刻度以下。最后记录时间，并把记录交给值班的人。",
+    "Close the inlet valve first. Then open the drain and wait until the level falls. Note the time at the end, and hand the sheet over.",
+)
+_SEED_WHOLE = ("Yes", "两次", "Items:\n- inlet valve\n- drain", "清单：\n- 进水阀\n- 排水阀", "See part 3.2", "红花，白花，黄花，蓝花", "Lamp 4", "3")
+
+
+class Endings:
+    """Log-odds that an open end is a cut, one column of weights for each fold that was left out."""
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray):
+        self.weights, self.bias = weights, bias
+
+    def score(self, features: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        """Log-odds of rows of ``cut_features``."""
+        return self.weights[features, fold[:, None]].sum(1) + self.bias[fold] if len(features) else np.empty(0)
+
+    def cut(self, text: str) -> float:
+        """Log-odds that the open end of ``text`` is a cut."""
+        fold = fold_of(text)
+        return float(self.weights[cut_features(text), fold].sum() + self.bias[fold])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, used: np.ndarray, steps: int = 60, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model by Adam; every row of ``x`` has WIDTH features below ``used``."""
+    weight = weight / weight.sum()
+    w, b = np.zeros(used), 0.0
+    m, v = np.zeros(used + 1), np.zeros(used + 1)
+    flat = x.ravel()
+    for step in range(1, steps + 1):
+        e = (1.0 / (1.0 + np.exp(-np.clip(w[x].sum(1) + b, -30, 30))) - y) * weight
+        g = np.append(np.bincount(flat, np.repeat(e, x.shape[1]), used) + l2 * w, e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w[0] = 0.0
+        w, b = w - move[:-1], b - move[-1]
+    w[0] = 0.0
+    return w, b
+
+
+def fit_endings(features: np.ndarray, fold: np.ndarray, cut: np.ndarray, made: np.ndarray, rounds: int = 5) -> Endings:
+    """The model from open ends and made cuts.
+
+    ``features`` and ``fold`` are of values with an open end, ``cut`` says which of them are known to
+    be cut (they end at a length limit); the others are taken for whole at first, and again as the
+    models of the other folds see them. ``made`` are features of sound values cut anywhere.
+    """
+    seeds = [x[:i] for x in _SEED_PROSE for i in range(6, len(x) - 1) if final_mark(x[:i]) == OPEN]
+    whole = list(_SEED_WHOLE)
+    x = np.array([*features.reshape(-1, WIDTH).tolist(), *made.reshape(-1, WIDTH).tolist(), *map(cut_features, seeds), *map(cut_features, whole)], dtype=np.int64)
+    n = len(features)
+    parts = np.concatenate([fold, np.arange(len(x) - n) % FOLDS])
+    own = np.zeros(len(x), dtype=bool)
+    own[n + len(made) :] = True
+    seen = np.bincount(x.ravel(), minlength=SIZE)
+    seen[np.unique(x[own])] += LEAST_SEEN
+    used = np.flatnonzero(seen >= LEAST_SEEN)
+    place = np.zeros(SIZE, dtype=np.int64)
+    place[used] = np.arange(1, len(used) + 1)
+    x = place[x]
+    fixed = np.concatenate([cut.astype(bool), np.ones(len(made) + len(seeds), dtype=bool), np.zeros(len(whole), dtype=bool)])
+    y = fixed.copy()
+    weights, bias = np.zeros((SIZE, FOLDS), dtype=np.float32), np.zeros(FOLDS)
+    base = np.ones(len(x))
+    base[n : n + len(made)] = max(1.0, cut.sum()) / max(1, len(made))  # made cuts count as much as the known ones
+    for turn in range(rounds):
+        out = np.zeros(len(x))
+        for f in range(FOLDS):
+            fit = np.flatnonzero((parts != f) | own)
+            pos, neg = (base[fit] * y[fit]).sum(), (base[fit] * ~y[fit]).sum()
+            w, b = _logistic(x[fit], y[fit].astype(float), base[fit] * np.where(y[fit], 1 / max(pos, 1e-9), 1 / max(neg, 1e-9)), len(used) + 1)
+            out[parts == f] = w[x[parts == f]].sum(1) + b
+            weights[used, f], bias[f] = w[1:], b
+        if turn < rounds - 1:
+            y = fixed.copy()
+            y[:n] |= out[:n] > 0
+    return Endings(weights, bias)
 
 
 def looks_like_object(text: str) -> bool:
@@ -82,7 +198,7 @@ def looks_like_object(text: str) -> bool:
 
 
 class Reply:
-    """A reply taken apart: ``body`` is the answer text, ``found`` the object, ``state`` the ending."""
+    """A reply taken apart: ``body`` is the answer text, ``found`` the object, ``state`` the final mark."""
 
     __slots__ = ("body", "found", "inner", "state", "broken_object")
 
@@ -91,7 +207,7 @@ class Reply:
         self.broken_object = False
         if self.found is not None and isinstance(self.found.get("answer"), str):
             self.body, self.inner = self.found["answer"], True
-            self.state = ending(self.body)
+            self.state = final_mark(self.body)
         elif self.found is None and looks_like_object(text):
             s = text.rstrip().rstrip("`").rstrip()
             hit = _ANSWER_STRING.search(text)
@@ -100,7 +216,7 @@ class Reply:
             self.state = BROKEN if self.broken_object else CLOSED
         else:
             self.body, self.inner = text, False
-            self.state = ending(text)
+            self.state = final_mark(text)
 
 
 def _unescape(raw: str) -> str:

@@ -29,6 +29,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_values(rows, ["tbl", "field", "source"], ["tbl", "row_key", "field"]).select("tbl", "row_key", "field").distinct()
 
 
+def p2_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut values with what shows the cut: a limit's length, the end itself, or both."""
+    rows = _measured(spark, sf_dir)
+    return truncation.cut_values(rows, ["tbl", "field", "source"], ["tbl", "row_key", "field"]).select("tbl", "row_key", "field", "source", "limit_unit", "transfer", "log_odds").distinct()
+
+
 def p2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limits that show in each source's lengths."""
     return truncation.length_limits(_measured(spark, sf_dir), ["tbl", "field", "source"])
@@ -168,7 +174,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rate", F.round(F.col("n_abusive") / F.col("n_docs"), 6)).withColumn("mean_score", F.round("mean_score", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_limits, p2_rates, p3_found, p3_shares, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_counts, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_cuts, p2_limits, p2_rates, p3_found, p3_shares, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_counts, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {
     "p5_found": rf"""with t as (select line_no, regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g') as body from evidence_corpus where text is not null)
 select line_no, case when list_max(list_transform(string_split_regex(body, '[\s.!?;:,。！？；：，、]|{BLANK}'), lambda x: length(x))) > 2200 then 'forced' else 'natural' end as boundary from t where length(body) > 2200""",
