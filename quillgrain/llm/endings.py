@@ -28,7 +28,7 @@ _PARTS = re.compile(r"[,，、:：]")
 _ANSWER_STRING = re.compile(r'"answer"\s*:\s*"((?:[^"\\]|\\.)*)', re.DOTALL)
 
 #: Features of an ending, their hash space, and the folds of texts that are scored by a model of the others.
-WIDTH, SIZE, FOLDS = 20, 1 << 17, 3
+WIDTH, SIZE, FOLDS = 22, 1 << 17, 3
 #: A feature that fewer endings of the fit have is left out.
 LEAST_SEEN = 10
 
@@ -87,6 +87,8 @@ def cut_features(text: str) -> list[int]:
     told = _FULL_STOP.search(s) is not None
     alone = fragment == s.strip()
     sizes = [len(x) for x in re.split(r"[,，、]", fragment)]
+    words = s.split()
+    at = s.find(s[-6:], 0, len(s) - 1) if len(s) > 12 else -1  # where the same end was met before
     named = [f"{n} {low[-n:]}" for n in range(1, 6)]
     named += [
         f"word {fragment.split(' ')[-1].lower()[:12]}",
@@ -103,6 +105,8 @@ def cut_features(text: str) -> list[int]:
         f"items {item} {item and not any(map(_FULL_STOP.search, lines[:-1])) and max(map(len, lines)) <= 60}",
         f"tail {_shape(s[-3:])} {item}",
         f"words {min(fragment.count(' '), 6)} {alone}",
+        f"word before {len(words) > 2 and words[-1] in words[:-1]} {len(words) > 2}",
+        f"went on {_shape(s[at + 6 : at + 7]) if at >= 0 else '-'}",
         f"turn {_shape(clause[:1])} {_shape(clause[-1:])} {len(sizes) > 1}",
     ]
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % SIZE for x in named]

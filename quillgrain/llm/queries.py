@@ -14,7 +14,7 @@ from . import common, defects, leaks, near_duplicates, overlap, packing, repetit
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective replies of all three tables with their defect."""
     rows = common.replies(spark, sf_dir, ("preference_pairs", "call_log", "sft_conversations"))
-    return defects.broken_replies(rows, ["tbl", "row_key", "field", "turn_no"], "prompt", "reply", "may_refuse").distinct()
+    return defects.broken_replies(rows, ["tbl", "row_key", "field", "turn_no"], "prompt", "reply", "may_refuse", ("tbl", "field", "source")).distinct()
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,22 +126,63 @@ def test_tokens(spark):
     assert got[2] == 0 and got[1] == 2 and got[3] > 1
 
 
-def test_endings():
-    e = endings.ending
-    assert e("完了。") == e("Done! 🎉") == e("谢谢（完）") == endings.CLOSED
-    for whole in ("要点：\n- 影子会话\n- 索引映射", "祝您喜气盈门，金榜题名，琴瑟和鸣", "See clause 4.5.4", "得分：-5\n当前：43/60", "the the the the the the", "两次", ""):
-        assert e(whole) == endings.WHOLE, whole
-    for cut in ("First done. The second one is def", "先做这个。然后再做那", "祝您喜气盈门，金榜题", "first. the the the the the the th", "ends �", "停在这…"):
-        assert e(cut) == endings.BROKEN, cut
-    assert endings.Reply('{"answer": "x. y').state == endings.BROKEN and endings.Reply('{"answer": "x.",}').state == endings.CLOSED
-
-
-def test_a_farewell_is_a_clause_of_its_own():
-    e = endings.ending
-    for cut in ("先看计数器。流程从续约命令开始，到合并完", "中间最多允许90次重试。认领完", "先提交合并指示的请求，完", "隔离账本的剩余值在三十天及以上", "这里要向值班的同事说声谢谢", "The whole team would like to say thank you"):
-        assert e(cut) == endings.BROKEN, cut
-    for whole in ("三步都做到了，缺一不可。完", "三步都做到了，缺一不可。\n全文完", "三步都做到了，缺一不可。以上", "请尽快回复这个问题，谢谢", "我左右为难，因为时间排得太满。急，在线等", "主张玩笑不碰短处。急，其实在线等", "请尽快回复这个问题，先谢谢", "Please confirm the two dates. Many thanks", "Please confirm the dates.\nBest regards"):
-        assert e(whole) == endings.WHOLE, whole
+def test_final_marks():
+    e = endings.final_mark
+    assert e("完了。") == e("Done! 🎉") == e("谢谢（完）") == e("") == endings.CLOSED
+    assert e("ends \ufffd") == e("停在这…") == endings.BROKEN and e("so it is done!…") == endings.CLOSED
+    assert e("First done. The second one is def") == e("要点：\n- 索引映射") == endings.OPEN
+    assert endings.Reply('{"answer": "x. y').broken_object and endings.Reply('{"answer": "x.",}').state == endings.CLOSED
+
+
+def values_with_open_ends(seed, n=1500, limit=90):
+    """(text, is cut): prose, some of it cut at a limit or anywhere, and kinds that are whole without a mark."""
+    rng = random.Random(seed)
+    nouns, verbs = ["阀门", "水箱", "灯", "闸口", "管道", "仪表"], ["打开", "关闭", "检查", "记录", "擦净"]
+    wishes = ["平安喜乐", "前程似锦", "花好月圆", "万事如意", "步步高升", "阖家安康"]
+    sentence = lambda: f"{rng.choice(['先', '再', '随后', '最后'])}{rng.choice(verbs)}{rng.choice(nouns)}，{rng.choice(['等', '过'])}{rng.randint(2, 90)}秒再{rng.choice(verbs)}{rng.choice(nouns)}。"
+    out = []
+    for _ in range(n):
+        kind, text = rng.random(), "".join(sentence() for _ in range(rng.randint(2, 9)))
+        if kind < 0.08:
+            out.append((text[: rng.randrange(8, len(text))], True))
+        elif kind < 0.3:
+            out.append((text[:limit], len(text) > limit))
+        elif kind < 0.4:
+            out.append(("要点：" + "".join(f"\n- {rng.choice(verbs)}{rng.choice(nouns)}" for _ in range(rng.randint(2, 4))), False))
+        elif kind < 0.5:
+            out.append(("祝您" + "，".join(rng.sample(wishes, rng.randint(2, 4))), False))
+        elif kind < 0.55:
+            out.append((f"See part {rng.randint(1, 9)}.{rng.randint(1, 9)}", False))
+        elif kind < 0.6:
+            out.append((text + rng.choice(["谢谢", "完", "急，在线等"]), False))
+        else:
+            out.append((text, False))
+    return [(t, cut and endings.final_mark(t) == endings.OPEN) for t, cut in out]
+
+
+def test_endings_are_learned(spark):
+    """Held-out precision and recall of limits and of the learned endings."""
+    rows = [(f"r{i}", "s", t, c) for i, (t, c) in enumerate(values_with_open_ends(5))]
+    df = spark.createDataFrame([r[:3] for r in rows], "k string, source string, text string").repartition(3)
+    measured = truncation.measure(df, ["k", "source"], "text")
+    found = {r.k: r for r in truncation.cut_values(measured, ["source"], ["k"]).collect()}
+    want = {k for k, _, _, c in rows if c}
+    at_limit = {k for k, r in found.items() if r.limit_unit}
+    assert at_limit <= want and 0.5 < len(at_limit) / len(want) < 0.95
+    right = len(set(found) & want)
+    assert right / len(want) > 0.92 and right / len(found) > 0.97  # 1500 rows teach less than the real tables
+    model = truncation.ending_model(measured, ["source"])
+    fresh = [(t, c) for t, c in values_with_open_ends(77, 600) if endings.final_mark(t) == endings.OPEN]
+    said = [(model.cut(t) > 0, c) for t, c in fresh]
+    assert sum(a == b for a, b in said) / len(said) > 0.95
+
+
+def test_a_limit_of_sixty(spark):
+    rng = random.Random(3)
+    rows = [(f"w{i}", " ".join("word" for _ in range(rng.randint(2, 11))) + ".") for i in range(200)] + [(f"c{i}", ("some words and more of the same kind. " * 4)[i : i + 59] + "w") for i in range(12)]
+    df = spark.createDataFrame(rows, "k string, text string").withColumn("source", F.lit(None).cast("string"))
+    limits = truncation.length_limits(truncation.measure(df, ["k", "source"], "text"), ["source"]).collect()
+    assert {(r.unit, r.length) for r in limits} == {("chars", 60), ("bytes", 60)}
 
 
 QUESTION = "请说明两盏灯之间的关系。"
@@ -149,8 +190,9 @@ QUESTION = "请说明两盏灯之间的关系。"
 
 @pytest.fixture(scope="module")
 def tagger():
-    field = defects.Field().fit(*defects.training_sequences([]))
-    return lambda seq: defects._viterbi([field.emit[f].sum(0) for f in seq], field.move)
+    none = np.empty((0, endings.WIDTH), dtype=np.int64)
+    odds = endings.fit_endings(none, np.empty(0, dtype=np.int64), np.empty(0, dtype=bool), none).cut
+    return defects.Field().fit(*defects.training_sequences([], odds)), odds
 
 
 @pytest.mark.parametrize("reply, may, want", [
@@ -160,25 +202,56 @@ def tagger():
     ("The left lamp lights up first. The right one follows.", False, "language"), ("左灯先亮。右灯在三", False, "truncated"), ('{"answer": "左灯先亮。右灯', False, "truncated"), ("左灯先亮。右灯后亮。", False, None), ("不需要。", False, None),
 ])
 def test_defects(tagger, reply, may, want):
-    assert defects.reply_defect(reply, QUESTION, may, tagger) == want
+    assert defects.reply_defect(reply, QUESTION, may, *tagger) == want
 
 
 def test_requested_language_is_no_defect(tagger):
-    assert defects.reply_defect("The left lamp lights up first.", "请用英文回答：" + QUESTION, False, tagger) is None
-    assert defects.reply_defect("Nadie espera una nota breve, pero siempre se agradece.", "How are the two lamps related?", False, tagger) == "language"
+    assert defects.reply_defect("The left lamp lights up first.", "请用英文回答：" + QUESTION, False, *tagger) is None
+    assert defects.reply_defect("Nadie espera una nota breve, pero siempre se agradece.", "How are the two lamps related?", False, *tagger) == "language"
 
 
 def test_field_learns_transitions():
-    """Forward-backward against enumeration on a tiny field."""
+    """Decoding against enumeration on a tiny field, and the likelihood's gradient against differences."""
     import itertools
 
     field = defects.Field()
     rng = np.random.default_rng(0)
-    field.emit[:], field.move[:] = rng.normal(size=field.emit.shape), rng.normal(size=field.move.shape)
-    seq = [[0, 1], [0, 5], [0, 8]]
-    scores = [field.emit[f].sum(0) for f in seq]
+    field.move[:] = rng.normal(size=field.move.shape)
+    scores = rng.normal(size=(3, len(defects.TAGS)))
     best = max(itertools.product(range(5), repeat=3), key=lambda t: sum(s[x] for s, x in zip(scores, t)) + sum(field.move[a, b] for a, b in zip(t, t[1:])))
     assert tuple(defects._viterbi(scores, field.move)) == best
+    # one step from zero: every tag is as likely as any other, so the gradient is known
+    seqs = [defects.Sequence(endings.Reply(t), QUESTION, lambda x: 0.0) for t in ("左灯先亮。右灯后亮。再说一句。", "左灯先亮。")]
+    tags = [[defects.ANSWER, defects.REFUSAL, defects.REFUSAL], [defects.ANSWER]]
+    one = defects.Field().fit(seqs, tags, steps=1)
+    assert np.allclose(one.move, np.where(_moves(tags) - 2 / 25 > 0, 0.15, -0.15)) and one.emit[defects.F_FIRST, defects.ANSWER] > 0 > one.emit[defects.F_FIRST, defects.REFUSAL]
+
+
+def _moves(tags):
+    out = np.zeros((5, 5))
+    for t in tags:
+        for a, b in zip(t, t[1:]):
+            out[a, b] += 1
+    return out
+
+
+def test_the_field_beats_rules_on_refusals_it_never_saw(spark):
+    """Ways to decline are mined from the rows that may decline: no list holds this one."""
+    rng = random.Random(8)
+    say = lambda: f"{rng.choice(['左', '右', '前', '后'])}灯在{rng.randint(1, 60)}秒后{rng.choice(['亮', '灭'])}。{rng.choice(['然后停止', '随后等待', '最后记录'])}。"
+    no = "此类咨询请另寻他处。"
+    rows = [(f"a{i}", f"{rng.choice(['左', '右'])}灯在第{i}步怎样动作？", say(), False) for i in range(300)]
+    rows += [(f"m{i}", f"右灯在第{i}步怎样动作？", no if i % 2 else say(), True) for i in range(120)] + [(f"n{i}", f"前灯在第{i}步怎样动作？", no, False) for i in range(6)]
+    df = spark.createDataFrame(rows, "row_key string, prompt string, reply string, may_refuse boolean")
+    got = {r.row_key: r.defect for r in defects.broken_replies(df, ["row_key"], "prompt", "reply", "may_refuse").collect()}
+    assert got == {f"n{i}": "refusal" for i in range(6)}
+
+
+def test_empty_objects_and_long_replies(tagger):
+    assert defects.reply_defect('{"answer": "see items [a,] and b.", "citations": []}', "Which items?", False, *tagger) is None
+    long = "左灯先亮，右灯在三秒之后亮。" * 250
+    assert defects.reply_defect(long, QUESTION, False, *tagger) is None
+    assert defects.reply_defect(long + "然后再看左", QUESTION, False, *tagger) == "truncated"
 
 
 def test_defect_rows(spark):
@@ -216,16 +289,16 @@ def test_toxicity_learns(spark):
 
 
 def test_a_cut_inside_a_word_that_looks_like_a_farewell(tagger):
-    assert defects.reply_defect("左灯先亮。流程从续约命令开始，到合并完", QUESTION, False, tagger) == "truncated"
+    assert defects.reply_defect("左灯先亮。流程从续约命令开始，到合并完", QUESTION, False, *tagger) == "truncated"
 
 
 @pytest.mark.parametrize("n", [5, 60, 180, 300])
 def test_a_clause_is_read_alike_in_replies_of_any_size(tagger, n):
     own, foreign = "左灯先亮，右灯在三秒之后亮，然后两盏灯一起亮，最后一起熄灭。", "The left lamp lights up first, and the right one follows. "
-    seq, letters = defects.features(endings.Reply((own + foreign) * n), QUESTION)
-    assert letters == [len(common.normalise(own)), len(common.normalise(foreign))] * n
-    assert [defects.F_FOREIGN in f for f in seq] == [False, True] * n
-    assert defects.reply_defect(own * n + foreign * 2 * n, QUESTION, False, tagger) == "language"
+    seq = defects.Sequence(endings.Reply((own + foreign) * n), QUESTION, tagger[1])
+    assert seq.letters == [len(common.normalise(own)), len(common.normalise(foreign))] * n
+    assert seq.foreign == [False, True] * n
+    assert defects.reply_defect(own * n + foreign * 2 * n, QUESTION, False, *tagger) == "language"
 
 
 def test_only_the_piece_of_a_long_run_gives_up_overlap():
