@@ -443,12 +443,12 @@ def broken_replies(df: DataFrame, keys: list[str], prompt: str, reply: str, may_
     measured = write_shared(truncation.measure(df.select(*names, F.col(prompt).alias("__q"), F.col(reply).alias("__a")), names, "__a", "__q"))
     model = truncation.ending_model(measured, list(by))
     field = fit_field(df, keys, prompt, reply, may_refuse, model.cut)
-    shared = spark.sparkContext.broadcast((field.emit.astype(np.float32), field.move, model.weights, model.bias))  # of fixed size
+    shared = spark.sparkContext.broadcast((field.emit.astype(np.float32), field.move, model.weights, model.bias, model.common))  # of fixed size
     flat = df.select(*keys, F.col(prompt).alias("__q"), F.col(reply).alias("__a"), F.coalesce(F.col(may_refuse), F.lit(False)).alias("__m"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        emit, move, weights, bias = shared.value
-        field, odds = Field(emit, move), Endings(weights, bias).cut
+        emit, move, *rest = shared.value
+        field, odds = Field(emit, move), Endings(*rest).cut
         for b in batches:
             found = [reply_defect(a, question_of(q).strip(), m, field, odds) for q, a, m in zip(b["__q"], b["__a"], b["__m"])]
             out = b[keys].copy()

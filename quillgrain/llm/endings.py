@@ -29,6 +29,8 @@ _ANSWER_STRING = re.compile(r'"answer"\s*:\s*"((?:[^"\\]|\\.)*)', re.DOTALL)
 
 #: Features of an ending, their hash space, and the folds of texts that are scored by a model of the others.
 WIDTH, SIZE, FOLDS = 22, 1 << 17, 3
+#: Where among the features the last five characters are, and in how many steps their frequency is told.
+LAST_FIVE, STEPS = 4, 8
 #: A feature that fewer endings of the fit have is left out.
 LEAST_SEEN = 10
 
@@ -125,19 +127,25 @@ _SEED_WHOLE = ("Yes", "两次", "Items:\n- inlet valve\n- drain", "清单：\n-
 
 
 class Endings:
-    """Log-odds that an open end is a cut, one column of weights for each fold that was left out."""
+    """Log-odds that an open end is a cut, one column of weights for each fold that was left out.
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.weights, self.bias = weights, bias
+    ``common`` says for each last five characters how many open ends of the fit share them, as a
+    feature of its own: what ends many texts is an ending, cuts fall anywhere.
+    """
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, common: np.ndarray):
+        self.weights, self.bias, self.common = weights, bias, common
 
     def score(self, features: np.ndarray, fold: np.ndarray) -> np.ndarray:
         """Log-odds of rows of ``cut_features``."""
-        return self.weights[features, fold[:, None]].sum(1) + self.bias[fold] if len(features) else np.empty(0)
+        if not len(features):
+            return np.empty(0)
+        return self.weights[features, fold[:, None]].sum(1) + self.weights[self.common[features[:, LAST_FIVE]], fold] + self.bias[fold]
 
     def cut(self, text: str) -> float:
         """Log-odds that the open end of ``text`` is a cut."""
-        fold = fold_of(text)
-        return float(self.weights[cut_features(text), fold].sum() + self.bias[fold])
+        fold, found = fold_of(text), cut_features(text)
+        return float(self.weights[found, fold].sum() + self.weights[self.common[found[LAST_FIVE]], fold] + self.bias[fold])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, used: np.ndarray, steps: int = 60, l2: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -168,18 +176,21 @@ def fit_endings(features: np.ndarray, fold: np.ndarray, cut: np.ndarray, made: n
     whole = list(_SEED_WHOLE)
     x = np.array([*features.reshape(-1, WIDTH).tolist(), *made.reshape(-1, WIDTH).tolist(), *map(cut_features, seeds), *map(cut_features, whole)], dtype=np.int64)
     n = len(features)
+    often = np.bincount(features.reshape(-1, WIDTH)[:, LAST_FIVE], minlength=SIZE) if n else np.zeros(SIZE, dtype=np.int64)
+    common = (SIZE + np.minimum(STEPS - 1, np.log2(np.maximum(often, 4) / 4).astype(np.int64))).astype(np.int32)
+    x = np.hstack([x, common[x[:, LAST_FIVE : LAST_FIVE + 1]]])
     parts = np.concatenate([fold, np.arange(len(x) - n) % FOLDS])
     own = np.zeros(len(x), dtype=bool)
     own[n + len(made) :] = True
-    seen = np.bincount(x.ravel(), minlength=SIZE)
+    seen = np.bincount(x.ravel(), minlength=SIZE + STEPS)
     seen[np.unique(x[own])] += LEAST_SEEN
     used = np.flatnonzero(seen >= LEAST_SEEN)
-    place = np.zeros(SIZE, dtype=np.int64)
+    place = np.zeros(SIZE + STEPS, dtype=np.int64)
     place[used] = np.arange(1, len(used) + 1)
     x = place[x]
     fixed = np.concatenate([cut.astype(bool), np.ones(len(made) + len(seeds), dtype=bool), np.zeros(len(whole), dtype=bool)])
     y = fixed.copy()
-    weights, bias = np.zeros((SIZE, FOLDS), dtype=np.float32), np.zeros(FOLDS)
+    weights, bias = np.zeros((SIZE + STEPS, FOLDS), dtype=np.float32), np.zeros(FOLDS)
     base = np.ones(len(x))
     base[n : n + len(made)] = max(1.0, cut.sum()) / max(1, len(made))  # made cuts count as much as the known ones
     for turn in range(rounds):
@@ -193,7 +204,7 @@ def fit_endings(features: np.ndarray, fold: np.ndarray, cut: np.ndarray, made: n
         if turn < rounds - 1:
             y = fixed.copy()
             y[:n] |= out[:n] > 0
-    return Endings(weights, bias)
+    return Endings(weights, bias, common)
 
 
 def looks_like_object(text: str) -> bool:

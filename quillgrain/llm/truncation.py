@@ -132,7 +132,7 @@ def cut_values(measured: DataFrame, by: list[str], keys: list[str]) -> DataFrame
     tables give no rows.
     """
     model = ending_model(measured, by)
-    shared = measured.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # of fixed size
+    shared = measured.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.common))  # of fixed size
     out = at_limits(measured, by)
     names = list(dict.fromkeys([*keys, *by]))
     flat = out.select(*names, "state", "limit_unit", "ends", "fold")
