@@ -2,11 +2,15 @@
 
 The reviewed sample labels whole documents; one sentence makes a document abusive. Training
 therefore picks the sentences of abusive documents that carry the label (seed words and rarity
-first, then the model itself). Negatives are about 5000 (below 10,000) sentences of the clean
-documents, picked by a hash over all of them, and the 10,000 highest-scoring as hard negatives. The chain predicts sexual, threat, hate, insult
-and at last the reviewed label; each later model sees the earlier probabilities, in training the
-out-of-fold ones. Features are hashed character n-grams of two streams: the text as it is, and its
-letters with look-alikes folded, in which spaced-out and starred words read as plain ones.
+first, then models that did not see the document). Negatives are sentences of clean labelled
+documents and, as background, of documents nobody labelled, all picked by a hash over all of them;
+the highest-scoring come back as hard negatives. The chain predicts sexual, threat, hate, insult and
+at last the reviewed label; each later model sees the earlier probabilities, in training the
+out-of-fold ones. Seed words only start the categories: sentences without any get theirs from
+out-of-fold models and teach the next round. The score from which a document counts as abusive
+follows from out-of-fold scores too. Features are hashed character n-grams of two streams: the text
+as it is, and its letters with look-alikes folded, in which spaced-out and starred words read as
+plain ones.
 """
 
 from __future__ import annotations
@@ -31,15 +35,21 @@ SEEDS = {
 CHAIN = ("sexual", "threat", "hate", "insult", "toxic")
 BITS = 18
 _SIZE = 1 << BITS
-#: Most labelled documents that are used, abusive and clean; the documented bound of the fit.
-MAX_ABUSIVE, MAX_CLEAN = 2000, 5000
+#: Most labelled documents that are used, abusive and clean, and about how many documents give the
+#: background; the documented bounds of the fit.
+MAX_ABUSIVE, MAX_CLEAN, BACKGROUND = 2000, 5000, 1500
+#: Most sentences the fit takes from a document (picked by a hash), and most characters of a sentence in it.
+FROM_EACH, FIT_CHARS = 60, 400
+#: With fewer abusive documents the labels say too little about the threshold, and the cautious one holds.
+FEW_LABELS, CAUTIOUS = 10, 0.9
 #: A sentence of at most SHORT characters, its mark included, is read together with its neighbour.
 SHORT = 3
 #: Marks and numbers with fewer n-grams say nothing; a sentence with few has its sum shrunk as if it had FEW_GRAMS.
 LEAST_GRAMS, FEW_GRAMS = 6, 50.0
 #: From so many sentences of labelled documents on, the seed words themselves are no cases any more.
 ENOUGH = 60
-_TAG = re.compile(r"<[^<>\x00]{1,200}>")
+#: Names of HTML tags; other text between angle brackets is text.
+_TAG = re.compile(r"</?(?:a|abbr|article|b|blockquote|body|br|button|center|code|dd|div|dl|dt|em|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|label|li|link|main|meta|nav|ol|option|p|pre|script|section|select|small|span|strong|style|sub|sup|table|tbody|td|textarea|tfoot|th|thead|title|tr|u|ul|video)\b(?:\s[^<>\x00]{0,200})?/?>")
 _BLANK = re.compile(r"[^\S\n\x00]+")
 _FOLD = {"1": "i", "0": "o", "3": "e", "@": "a", "$": "s"}
 
@@ -181,6 +191,7 @@ class ToxicChain:
         self.weights = np.zeros((_SIZE + 1, len(CHAIN)), dtype=np.float32)
         self.bias = np.zeros(len(CHAIN))
         self.links = np.zeros((len(CHAIN), len(CHAIN)))
+        self.threshold = CAUTIOUS
 
     def chain(self, sums: np.ndarray, norm: np.ndarray) -> np.ndarray:
         p = np.zeros((len(sums), len(CHAIN)))
@@ -227,21 +238,51 @@ def _highest(scored: list[tuple[float, str]], most: int) -> list[str]:
     return [s for _, s in sorted(scored, key=lambda x: (-x[0], x[1]))[:most]]
 
 
-def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds: int = 2) -> ToxicChain:
-    """The chain from labelled documents. Without an abusive document only the seeds are known."""
+class _Fold:
+    """Rows of a fit: features of sentences, and which fold each belongs to."""
+
+    def __init__(self, rows, cols, norm, fold):
+        self.rows, self.cols, self.norm, self.fold = rows, cols, norm, fold
+
+    def fit(self, which: np.ndarray, extra: np.ndarray, y: np.ndarray):
+        place = np.full(len(self.norm), -1)
+        place[which] = np.arange(len(which))
+        ok = place[self.rows] >= 0
+        return _fit_one(place[self.rows[ok]], self.cols[ok], self.norm[which], extra[which], y[which])
+
+    def predict(self, model, extra: np.ndarray) -> np.ndarray:
+        w, v, b = model
+        return _sigmoid(np.bincount(self.rows, weights=w[self.cols], minlength=len(self.norm)) * self.norm + extra @ v + b)
+
+
+def _threshold(abusive: np.ndarray, clean: np.ndarray, each: float, share: float) -> float:
+    """The score that promises the best F1: ``abusive`` are best scores of abusive documents, ``clean``
+    scores of sentences of clean ones, of which a document has ``each``; ``share`` of documents is abusive.
+    """
+    if len(abusive) < FEW_LABELS:
+        return CAUTIOUS
+    grid = np.arange(0.5, 0.91, 0.02)
+    hit = share * np.array([(abusive >= t).mean() for t in grid])
+    false = (1 - share) * np.minimum(1.0, np.array([(clean >= t).mean() if len(clean) else 0.0 for t in grid]) * each)
+    value = 2 * hit / np.maximum(hit + false + share, 1e-12)
+    best = np.flatnonzero(value >= value.max() - 1e-9)
+    return round(float(grid[best[len(best) // 2]]), 2)
+
+
+def fit_chain(abusive: list[list[str]], clean: list[str], background: list[str] = (), each: float = 20.0, share: float | None = None, negatives: int = 5000, folds: int = 2) -> ToxicChain:
+    """The chain from the sentences of each abusive document and of all clean ones.
+
+    Without an abusive document only the seeds are known. ``each`` is how many sentences a document
+    has, ``share`` how many of the labelled documents are abusive.
+    """
     tables = _tables()
     model = ToxicChain()
     seeds = {c: [w.lower() for w in words.split()] for c, words in SEEDS.items()}
-    cand, cand_doc = [], []
-    for d, text in enumerate(abusive):
-        for s in _sentences_of(text):
-            cand.append(s)
-            cand_doc.append(d)
-    pool: list[str] = []
-    for text in clean:
-        pool.extend(_sentences_of(text))
-    pool = _by_hash(pool)
-    easy = pool[: -(-len(pool) // max(1, len(pool) // negatives))]
+    cand = [s for d in abusive for s in d]
+    cand_doc = [i for i, d in enumerate(abusive) for _ in d]
+    pool = _by_hash(list(clean))
+    easy = pool[:negatives]
+    behind = _by_hash(list(background))[:negatives]
     neg = easy or ["ok"]
 
     # the seed words, so that no category is without a case; where they are all there is to learn
@@ -256,106 +297,124 @@ def fit_chain(abusive: list[str], clean: list[str], negatives: int = 5000, folds
     hits = np.array([[f.search(s) is not None for f in finders] for s in cand], dtype=bool)
 
     feats = Sentences(cand, tables)
-    common = np.bincount(Sentences(pool[:20000] or ["ok"], tables).cols, minlength=_SIZE) > 1
+    common = np.bincount(Sentences([*pool[:20000], *behind] or ["ok"], tables).cols, minlength=_SIZE) > 1
     rare = 1.0 - np.bincount(feats.rows, weights=common[feats.cols], minlength=feats.n) * feats.norm**2
     scores = np.minimum(1.0, rare * 0.8 + hits.any(1) * 0.35)
     scores[is_seed] = 1.0
     chosen = np.flatnonzero(is_seed | np.isin(np.arange(len(cand)), _pick(np.where(scores > 0.62, scores, scores * 0.5), cand_doc, 0.2)))
+    every = _Fold(feats.rows, feats.cols, feats.norm, cand_doc % folds)
 
     for turn in range(3):
         final = turn == 2
-        pos = chosen
+        pos, n_pos, n = chosen, len(chosen), len(chosen) + len(neg)
         neg_f = Sentences(neg, tables)
         pr, pc = feats.take(pos)
-        n_pos, n = len(pos), len(pos) + len(neg)
-        rows = np.concatenate([pr, neg_f.rows + n_pos])
-        cols = np.concatenate([pc, neg_f.cols])
-        norm = np.concatenate([feats.norm[pos], neg_f.norm])
+        data = _Fold(np.concatenate([pr, neg_f.rows + n_pos]), np.concatenate([pc, neg_f.cols]), np.concatenate([feats.norm[pos], neg_f.norm]), np.concatenate([cand_doc[pos] % folds, np.arange(len(neg)) % folds]))
         y_toxic = np.concatenate([np.ones(n_pos), np.zeros(len(neg))])
-        fold = np.concatenate([cand_doc[pos] % folds, np.arange(len(neg)) % folds])
-        oof = np.zeros((n, len(CHAIN)))
-        for k, name in enumerate(CHAIN):
-            if name == "toxic":
-                y, known = y_toxic, np.ones(n, dtype=bool)
-            else:
-                if not final:
-                    continue
-                j = list(seeds).index(name)
-                y = np.concatenate([hits[pos, j], np.zeros(len(neg))]).astype(float)
-                # a chosen sentence without any seed has no category of its own yet; of the
-                # negatives a third is enough for a category, the last model sees them all
-                known = np.concatenate([hits[pos].any(1), np.arange(len(neg)) % 3 == 0])
-            extra = oof[:, :k]
-            if final:
+        nothing = np.zeros((n, 0))
+        if not final:
+            # the choice among the abusive documents by models that did not see the document: a sentence
+            # that no other document supports, as in a wrongly labelled one, is dropped
+            p = np.zeros(feats.n)
+            for f in range(folds):
+                own = cand_doc % folds == f
+                p[own] = every.predict(data.fit(np.flatnonzero(data.fold != f), nothing, y_toxic), np.zeros((feats.n, 0)))[own]
+            whole = data.fit(np.arange(n), nothing, y_toxic)
+            p[is_seed] = 1.0
+            chosen = _pick(p, cand_doc, 0.3)
+            if (~is_seed[chosen]).sum() >= ENOUGH:
+                chosen = chosen[~is_seed[chosen]]  # bare words would teach that a short sentence is abusive
+            hard: list[tuple[float, str]] = []
+            for at in range(0, len(pool), 5000):
+                part = pool[at : at + 5000]
+                f = Sentences(part, tables)
+                z = _sigmoid(np.bincount(f.rows, weights=whole[0][f.cols], minlength=f.n) * f.norm + whole[2])
+                hard.extend((float(x), s) for s, x in zip(part, z) if x > 0.1 and len(s) > 2)
+            # nobody reviewed the background: what looks abusive in it is no negative
+            f = Sentences(behind or ["ok"], tables)
+            z = _sigmoid(np.bincount(f.rows, weights=whole[0][f.cols], minlength=f.n) * f.norm + whole[2])
+            behind = [s for s, x in zip(behind, z) if x < 0.3]
+            neg = [*easy, *behind, *_highest(hard, 2 * negatives)] or ["ok"]
+            continue
+
+        # categories: the seed words first, then what models of the other documents make of the rest
+        kinds = hits[pos].astype(float)
+        sure = hits[pos].any(1)
+        third = np.arange(len(neg)) % 3 == 0  # of the negatives a third is enough for a category
+        for again in range(2):
+            known = np.concatenate([sure, third])
+            guess = np.zeros((n_pos, len(seeds)))
+            for k in range(len(seeds)):
+                y = np.concatenate([kinds[:, k], np.zeros(len(neg))])
                 for f in range(folds):
-                    fit, held = np.flatnonzero(known & (fold != f)), np.flatnonzero(fold == f)
-                    if not len(held) or not len(fit):
-                        continue
-                    place = np.full(n, -1)
-                    place[fit] = np.arange(len(fit))
-                    ok = place[rows] >= 0
-                    w, v, b = _fit_one(place[rows[ok]], cols[ok], norm[fit], extra[fit], y[fit])
-                    z = np.bincount(rows, weights=w[cols], minlength=n) * norm + extra @ v + b
-                    oof[held, k] = _sigmoid(z)[held]
-            fit = np.flatnonzero(known)
-            place = np.full(n, -1)
-            place[fit] = np.arange(len(fit))
-            ok = place[rows] >= 0
-            w, v, b = _fit_one(place[rows[ok]], cols[ok], norm[fit], extra[fit], y[fit])
+                    held = data.fold[:n_pos] == f
+                    guess[held, k] = data.predict(data.fit(np.flatnonzero(known & (data.fold != f)), nothing, y), nothing)[:n_pos][held]
+            bare = ~hits[pos].any(1)
+            kinds[bare] = guess[bare] >= 0.5
+            sure = hits[pos].any(1) | (guess >= 0.5).any(1)
+        known = np.concatenate([sure, third])
+        oof, chain = np.zeros((n, len(CHAIN))), np.zeros((feats.n, len(CHAIN)))
+        for k, name in enumerate(CHAIN):
+            last = name == "toxic"
+            y, use = (y_toxic, np.ones(n, dtype=bool)) if last else (np.concatenate([kinds[:, k], np.zeros(len(neg))]), known)
+            for f in range(folds):
+                part = data.fit(np.flatnonzero(use & (data.fold != f)), oof[:, :k], y)
+                held, own = data.fold == f, cand_doc % folds == f
+                oof[held, k] = data.predict(part, oof[:, :k])[held]
+                chain[own, k] = every.predict(part, chain[:, :k])[own]
+            w, v, b = data.fit(np.flatnonzero(use), oof[:, :k], y)
             model.weights[:, k], model.bias[k], model.links[k, :] = w, b, 0
             model.links[k, :k] = v
-        if final:
-            break
-        # the choice among the abusive documents by models that did not see the document: a sentence
-        # that no other document supports, as in a wrongly labelled one, is dropped
-        p = np.zeros(feats.n)
-        for f in range(folds):
-            fit = np.flatnonzero(fold != f)
-            place = np.full(n, -1)
-            place[fit] = np.arange(len(fit))
-            ok = place[rows] >= 0
-            w, _, b = _fit_one(place[rows[ok]], cols[ok], norm[fit], np.zeros((len(fit), 0)), y_toxic[fit])
-            own = cand_doc % folds == f
-            p[own] = _sigmoid(np.bincount(feats.rows, weights=w[feats.cols], minlength=feats.n) * feats.norm + b)[own]
-        p[is_seed] = 1.0
-        chosen = _pick(p, cand_doc, 0.3)
-        if (~is_seed[chosen]).sum() >= ENOUGH:
-            chosen = chosen[~is_seed[chosen]]  # bare words would teach that a short sentence is abusive
-        hard: list[tuple[float, str]] = []
-        for at in range(0, len(clean), 400):
-            part = clean[at : at + 400]
-            q, doc = model.score(part, tables)
-            for d in np.unique(doc[q[:, -1] > 0.1]):
-                own = _sentences_of(part[d])
-                f = Sentences(own, tables) if own else None
-                if f is not None:
-                    z = _sigmoid(np.bincount(f.rows, weights=model.weights[f.cols, -1], minlength=f.n) * f.norm + model.bias[-1])
-                    hard.extend((float(x), s) for s, x in zip(own, z) if x > 0.1 and len(s) > 2)
-        neg = [*easy, *_highest(hard, 2 * negatives)] or ["ok"]
+        best = np.zeros(len(abusive) + 1)
+        np.maximum.at(best, cand_doc, chain[:, -1])
+        model.threshold = _threshold(best[: len(abusive)], oof[n_pos : n_pos + len(easy), -1], each, share if share is not None else 0.5)
     return model
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, flag: str) -> tuple[list[str], list[str]]:
-    """Texts of at most MAX_ABUSIVE and MAX_CLEAN labelled documents, picked by a hash of the key.
+def labelled_sentences(docs: DataFrame, labels: DataFrame, key: str, text: str, flag: str) -> tuple[list[list[str]], list[str], list[str], float, float]:
+    """Sentences of each abusive document, of the clean ones and of unlabelled ones; sentences in a
+    document, and the share of labelled documents that are abusive.
 
-    A document that reviewers disagree on is left out; null flags do not count.
+    At most MAX_ABUSIVE and MAX_CLEAN labelled documents and about BACKGROUND others, picked by a hash
+    of the key; at most FROM_EACH sentences of each, picked by a hash in the cluster. A document that
+    reviewers disagree on is left out; null flags do not count.
     """
     one = labels.where(F.col(flag).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.avg(flag).alias("a")).where("a = 0 or a = 1")
     ids = one.where("a = 1").orderBy(F.xxhash64("k"), "k").limit(MAX_ABUSIVE).unionByName(one.where("a = 0").orderBy(F.xxhash64("k"), "k").limit(MAX_CLEAN))
-    # at most MAX_ABUSIVE + MAX_CLEAN keys
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(ids), "k").orderBy("k", "t").collect()
-    return [r["t"] for r in rows if r["a"] == 1], [r["t"] for r in rows if r["a"] == 0]
-
+    flat = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
+    part = min(1.0, BACKGROUND / max(1, flat.count()))
+    spread = (F.xxhash64("k", F.lit(11)) / F.lit(2.0**64)) + F.lit(0.5)
+    rows = flat.join(F.broadcast(ids), "k", "left").where(F.col("a").isNotNull() | (spread < F.lit(part)))  # at most MAX_ABUSIVE + MAX_CLEAN keys
 
-def score_documents(docs: DataFrame, labels: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), flag: str = "toxic", threshold: float = 0.6) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, t, a in zip(b["k"], b["t"], b["a"]):
+                own = _sentences_of(t)
+                out.extend((str(k), a, s[:FIT_CHARS], len(own)) for s in _by_hash(own)[:FROM_EACH])
+            yield pd.DataFrame(out, columns=["k", "a", "s", "n"])
+
+    got = rows.mapInPandas(run, "k string, a double, s string, n int").toPandas().sort_values(["k", "s"], kind="stable")
+    bad, good, rest = got[got["a"] == 1], got[got["a"] == 0], got[got["a"].isna()]
+    docs_bad, docs_good = bad["k"].nunique(), good["k"].nunique()
+    each = float(good.groupby("k")["n"].first().mean()) if docs_good else 20.0
+    counts = one.groupBy("a").count().collect()  # two rows
+    n = {r["a"]: r["count"] for r in counts}
+    return [list(g) for _, g in bad.groupby("k")["s"]], good["s"].tolist(), rest["s"].tolist(), each, n.get(1.0, 0) / max(1, sum(n.values())) if docs_bad else 0.0
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), flag: str = "toxic", threshold: float | None = None) -> DataFrame:
     """Every document's highest sentence probability in each category.
 
     Columns: key, the ``keep`` columns, p_sexual, p_threat, p_hate, p_insult, score (the reviewed
-    label's model) and abusive (score at or over ``threshold``). Null and empty texts score 0; equal rows
-    score alike; labels may be empty (the seeds alone then teach the chain); other columns are ignored.
+    label's model) and abusive (score at or over ``threshold``, by default the one that out-of-fold scores
+    promise the best F1 for, and CAUTIOUS where fewer than FEW_LABELS documents are labelled abusive).
+    Null and empty texts score 0; equal rows score alike; labels may be empty (the seeds alone then
+    teach the chain); other columns are ignored.
     """
     spark = docs.sparkSession
-    fitted = fit_chain(*labelled_texts(docs, labels, key, text, flag))
+    fitted = fit_chain(*labelled_sentences(docs, labels, key, text, flag))
+    threshold = fitted.threshold if threshold is None else threshold
     shared = spark.sparkContext.broadcast((fitted.weights, fitted.bias, fitted.links))  # of fixed size
     names = ["k", *[f"x{i}" for i in range(len(keep))]]
     flat = docs.select(F.col(key).alias("k"), *[F.col(c).alias(n) for c, n in zip(keep, names[1:])], F.col(text).alias("body"))

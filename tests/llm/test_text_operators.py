@@ -335,7 +335,7 @@ def test_negatives_come_from_all_clean_documents(monkeypatch):
     real = toxicity.Sentences
     monkeypatch.setattr(toxicity, "Sentences", lambda texts, tables: seen.append(list(texts)) or real(texts, tables))
     clean = [f"document {i} has a plain line of words." for i in range(500)]
-    toxicity.fit_chain(["Get lost, you idiot."], clean, negatives=10)
+    toxicity.fit_chain([["Get lost, you idiot."]], clean, negatives=10)
     used = {int(s.split()[1]) for texts in seen[2:] for s in texts if s.startswith("document") and len(texts) > 1}
     assert max(used) > 400
     assert toxicity._highest([(0.2, "a"), (0.9, "b"), (0.5, "c")], 2) == ["b", "c"]
