@@ -9,7 +9,21 @@ from quillgrain.functions import picks as P
 from quillgrain.functions import text as T
 
 # The question templates.
-QUESTION_TEMPLATES = ("What does the evidence state about: {topic}", "Which behaviour is specified for: {topic}", "How is this defined: {topic}", "Explain with a citation: {topic}")
+QUESTION_TEMPLATES = (
+    "According to the provided evidence, what does the specification state about: {topic}?",
+    "Based on the evidence, explain the requirement described: {topic}.",
+    "What is described in the evidence regarding: {topic}?",
+    "Summarize what the evidence says about: {topic}.",
+)
+# Questions and reasons of the instruction set.
+ANCHOR_QUESTION = "You MUST output a JSON object that strictly matches the required schema. Answer using ONLY the evidence. Provide exactly 1 citation and set quote as an exact substring."
+ANCHOR_REFUSAL_QUESTION = "You MUST output a JSON object that strictly matches the required schema. If the provided evidence is insufficient, refuse with cannot_answer_reason and empty citations."
+DEFINITION_QUESTION = "What does the evidence define or state about: {title}?"
+CONDITION_QUESTION = "Under what condition does the specification require the described behavior?"
+PROCEDURE_QUESTION = "Describe the steps or process mentioned in the evidence."
+REFUSAL_QUESTION = "According to the evidence, what does the specification state about: {quote}...?"
+REFUSAL_REASON = "The provided evidence does not contain the information needed to answer the question."
+ANCHOR_REFUSAL_REASON = "The provided evidence is insufficient to answer the question."
 
 
 def picked_quotes(chunks: DataFrame) -> DataFrame:
@@ -21,9 +35,9 @@ def answerable_questions(quoted: DataFrame, n: int) -> DataFrame:
     """id, type, chunk_id, quote, question for the first n quoted chunks in hash order; one in four asks about the title."""
     key = lambda scope: P.pick_key(scope, F.col("line_no"))
     rows = P.first_by_hash(quoted.where("quote is not null"), "eval", n, "line_no")
-    basis = F.when((P.pick_number(key("title"), 4) == 0) & (F.coalesce("title", F.lit("")) != ""), F.col("title")).otherwise(F.col("quote"))
+    topic = F.when((P.pick_number(key("title"), 4) == 0) & (F.coalesce("title", F.lit("")) != ""), F.col("title")).otherwise(T.shorten(F.col("quote")))  # a title stays whole
     template = P.pick_from(F.array(*map(F.lit, QUESTION_TEMPLATES)), key("template"))
-    return rows.select(F.concat(F.lit("E"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("id"), F.lit("answerable").alias("type"), "chunk_id", "quote", F.replace(template, F.lit("{topic}"), T.shorten(basis)).alias("question"))
+    return rows.select(F.concat(F.lit("E"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("id"), F.lit("answerable").alias("type"), "chunk_id", "quote", F.replace(template, F.lit("{topic}"), topic).alias("question"))
 
 
 def mismatched_questions(quoted: DataFrame, n: int) -> DataFrame:
@@ -95,9 +109,77 @@ def eval_targets(total: int = 240, unanswerable: float = 0.33) -> dict[str, int]
 def instruction_targets(train: int = 6000, held_out: int = 500, refusals: float = 0.25, anchors: float = 0.35) -> dict[str, int]:
     """Sizes of the tiers of an instruction set; anchor refusals come on top of it."""
     total = train + held_out
-    no = int(total * refusals)
+    no = round(total * refusals)
     yes = total - no
-    return {"refusals": no, "answerables": yes, "anchors": int(yes * anchors), "anchor_refusals": max(100, no // 4)}
+    return {"refusals": no, "answerables": yes, "anchors": round(yes * anchors), "anchor_refusals": max(100, no // 4)}
+
+
+def require_rows(df: DataFrame, least: int) -> DataFrame:
+    """``df``, or a ValueError where it has fewer than ``least`` rows; no more than that are counted."""
+    found = df.limit(least).count()
+    if found < least:
+        raise ValueError(f"corpus too small: {found} of {least} rows")
+    return df
+
+
+def composed_quote(text: Column, scope: str, row: Column, low: int, high: int) -> Column:
+    """An exact quote of ``low`` to ``high`` characters: a line, else two lines, else three, else a window; null where none fits."""
+    key = lambda part: P.pick_key(f"{scope}-{part}", row)
+
+    def window(t: Column) -> Column:
+        n = F.length(t)
+        size = F.lit(low) + P.pick_number(key("size"), (F.least(F.lit(high), n) - low + 1).cast("long"))
+        at = P.pick_number(key("at"), (n - size + 1).cast("long")) + 1
+        cut = T.strip(F.substr(t, at.cast("int"), size.cast("int")))
+        return F.when(n >= low, F.when(F.length(cut) >= low, cut))
+
+    return T.let(T.strip(text), lambda t: F.when(F.length(t) >= low, F.coalesce(line_tier_quote(t, key("line"), low, high), window(t))))
+
+
+def evaluation_set(chunks: DataFrame, total: int = 240, unanswerable: float = 0.33) -> DataFrame:
+    """id, type, question_chunk, evidence_chunk, quote: the quoted chunks in hash order, the first ones
+    answerable, the next with the evidence of another chunk, numbered through.
+    """
+    aim = eval_targets(total, unanswerable)
+    rows = P.first_by_hash(picked_quotes(chunks).where("quote is not null"), "evalset", total + 1, "line_no")
+    other = rows.select(F.col("rank").alias("r2"), F.col("chunk_id").alias("next_chunk"))
+    both = rows.where(F.col("rank") <= total).join(other, F.col("r2") == F.col("rank") + 1, "left")
+    yes = F.col("rank") <= aim["answerable"]
+    made = both.select(F.concat(F.lit("E"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("id"), F.when(yes, "answerable").otherwise("unanswerable").alias("type"), F.col("chunk_id").alias("question_chunk"), F.when(yes, F.col("chunk_id")).otherwise(F.col("next_chunk")).alias("evidence_chunk"), "quote")
+    return made.where("type = 'answerable' or question_chunk <> evidence_chunk")
+
+
+def instruction_set(chunks: DataFrame, train: int = 6000, held_out: int = 500, refusals: float = 0.25, anchors: float = 0.35) -> DataFrame:
+    """tier, kind, line_no, question, evidence_chunk, answer, reason, output and split of an assembled set.
+
+    Four tiers: anchors, regular answerables (definition, condition, procedure), refusals with the
+    evidence of another chunk, and anchor refusals; then an order by hash and a cut into train and
+    eval. Every step takes the first rows of a hash order, which a bounded top-n finds.
+    """
+    aim = instruction_targets(train, held_out, refusals, anchors)
+    c, none = F.col, F.lit(None).cast("string")
+    said = lambda tier, kind, question, quote, answer, low_high: chunks.select(F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), "line_no", question.alias("question"), c("chunk_id").alias("evidence_chunk"), quote.alias("quote"), answer.alias("answer"), "doc_id", "section", F.lit(low_high).alias("confidence"))
+    quoted = lambda scope, low, high: composed_quote(c("text"), scope, c("line_no"), low, high)
+    first = said("anchor", "anchor", F.lit(ANCHOR_QUESTION), quoted("anchor", 80, 220), quoted("anchor", 80, 220), "high").where("quote is not null")
+    first = P.first_by_hash(first, "anchor", aim["anchors"], "line_no")
+    title = F.when(F.coalesce("title", F.lit("")) != "", c("title")).otherwise("this concept")
+    kinds = (
+        said("regular", "definition", F.replace(F.lit(DEFINITION_QUESTION), F.lit("{title}"), title), F.when(c("text").rlike(T.DEFINITION), quoted("definition", 60, 240)), quoted("definition", 60, 240), "high"),
+        said("regular", "condition", F.lit(CONDITION_QUESTION), F.when(c("text").rlike(T.CONDITION), quoted("condition", 60, 240)), quoted("condition", 60, 240), "mid"),
+        said("regular", "procedure", F.lit(PROCEDURE_QUESTION), quoted("procedure", 180, 650), T.bullets(quoted("procedure", 180, 650)), "mid"),
+    )
+    regular = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).where("quote is not null")
+    regular = P.first_by_hash(regular, "regular", aim["answerables"] - aim["anchors"], "line_no", "kind")
+    yes = first.unionByName(regular).withColumn("reason", none).withColumn("output", answer_json(c("answer"), c("doc_id"), c("section"), c("evidence_chunk"), c("quote")))
+    asked = P.first_by_hash(chunks.select("line_no", "chunk_id", quoted("refusal", 40, 180).alias("quote")).where("quote is not null"), "refusal", aim["refusals"] + 1, "line_no")
+    shown = asked.select((c("rank") - 1).alias("rank"), c("chunk_id").alias("evidence_chunk"))
+    no = asked.join(shown, "rank").where("chunk_id <> evidence_chunk").select(F.lit("refusal").alias("tier"), F.lit("refusal").alias("kind"), "line_no", F.replace(F.lit(REFUSAL_QUESTION), F.lit("{quote}"), F.substring("quote", 1, 120)).alias("question"), "evidence_chunk", F.lit(REFUSAL_REASON).alias("reason"))
+    plain = P.first_by_hash(chunks.select("line_no", c("chunk_id").alias("evidence_chunk")), "anchor-refusal", aim["anchor_refusals"], "line_no")
+    no = no.unionByName(plain.select(F.lit("anchor_refusal").alias("tier"), F.lit("anchor").alias("kind"), "line_no", F.lit(ANCHOR_REFUSAL_QUESTION).alias("question"), "evidence_chunk", F.lit(ANCHOR_REFUSAL_REASON).alias("reason")))
+    names = ("tier", "kind", "line_no", "question", "evidence_chunk", "answer", "reason", "output")
+    rows = yes.select(*names).unionByName(no.withColumn("answer", F.lit("")).withColumn("output", refusal_json(c("reason"))).select(*names))
+    ranked = P.first_by_hash(rows, "set", train + held_out, "line_no", "tier", "kind")
+    return ranked.withColumn("split", F.when(c("rank") <= train, "train").otherwise("eval")).select(*names, "split")
 
 
 def draws(sample: DataFrame, n: int, scope: str = "draw") -> DataFrame:

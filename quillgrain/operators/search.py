@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quillgrain.functions import vectors as V
 
 #: Query vectors that are broadcast at once; more queries are answered in further rounds.
 QUERY_BLOCK = 4096
+#: Queries whose distances to a batch are held at once.
+TILE = 256
 
 
 def _blocks(queries: DataFrame, key: str, vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -50,17 +53,26 @@ def top_k(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int, met
                     continue
                 x, keys = np.stack(b["vec"].to_numpy()).astype(np.float64), b["key"].to_numpy()
                 x2 = (x * x).sum(1)
-                if metric == "l2":
-                    d = np.sqrt(np.maximum(0.0, q2[:, None] + x2[None, :] - 2 * q @ x.T))
-                else:
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        d = 1.0 - (q @ x.T) / np.sqrt(q2[:, None] * x2[None, :])
-                if skip_self:
-                    d[ids[:, None] == keys[None, :]] = np.inf
-                best_d, best_k = np.hstack([best_d, d]), np.hstack([best_k, np.broadcast_to(keys, d.shape)])
-                if best_d.shape[1] > k:  # the k smallest, ties by key
-                    order = np.lexsort((best_k, np.round(best_d, 9)), axis=1)[:, :k]
-                    best_d, best_k = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_k, order, 1)
+                tiles = []
+                for at in range(0, len(ids), TILE):
+                    t = slice(at, at + TILE)
+                    if metric == "l2":
+                        d = np.sqrt(np.maximum(0.0, q2[t, None] + x2[None, :] - 2 * q[t] @ x.T))
+                    else:
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            d = 1.0 - (q[t] @ x.T) / np.sqrt(q2[t, None] * x2[None, :])
+                    if skip_self:
+                        d[ids[t, None] == keys[None, :]] = np.inf
+                    d, name = np.hstack([best_d[t], np.round(d, 9)]), np.hstack([best_k[t], np.broadcast_to(keys, d.shape)])
+                    if d.shape[1] > k:  # the k smallest, ties by key: all rows as near as the k-th stay for the tie
+                        last = np.partition(np.where(np.isnan(d), np.inf, d), k - 1, axis=1)[:, k - 1 : k]
+                        wide = max(k, int((d <= last).sum(1).max()))
+                        near = np.argpartition(np.where(np.isnan(d), np.inf, d), min(wide, d.shape[1]) - 1, axis=1)[:, :wide]
+                        d, name = np.take_along_axis(d, near, 1), np.take_along_axis(name, near, 1)
+                        order = np.lexsort((name, d), axis=1)[:, :k]
+                        d, name = np.take_along_axis(d, order, 1), np.take_along_axis(name, order, 1)
+                    tiles.append((d, name))
+                best_d, best_k = np.vstack([d for d, _ in tiles]), np.vstack([name for _, name in tiles])
             keep = np.isfinite(best_d)
             yield pd.DataFrame({"query_key": np.broadcast_to(ids[:, None], best_d.shape)[keep], "key": best_k[keep], "distance": best_d[keep]})
 
@@ -88,7 +100,7 @@ def centrality(rows: DataFrame, key: str, cluster: str, vec: str) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("centrality"), key)).cast("long"))
 
 
-def silhouette(rows: DataFrame, key: str, cluster: str, vec: str) -> DataFrame:
+def squared_silhouette(rows: DataFrame, key: str, cluster: str, vec: str) -> DataFrame:
     """key, cluster, silhouette with squared Euclidean distance, in closed form from cluster moments.
 
     The mean squared distance to a cluster is |x|^2 + squares / n - 2 x . total / n; a member leaves
@@ -109,6 +121,44 @@ def silhouette(rows: DataFrame, key: str, cluster: str, vec: str) -> DataFrame:
     return ab.select(key, cluster, F.round(s, 6).alias("silhouette"))
 
 
+def silhouette(queries: DataFrame, rows: DataFrame, key: str, cluster: str, vec: str) -> DataFrame:
+    """key, cluster, silhouette (Euclidean) of the stated query rows against all rows.
+
+    Each task adds up the distances of its rows to a block of queries by cluster, so what is shuffled is
+    queries x clusters x tasks; for all rows as queries use a sample or ``squared_silhouette``.
+    """
+    spark = rows.sparkSession
+    base = rows.where(F.col(vec).isNotNull()).select(F.col(cluster).cast("string").alias("c"), F.col(vec).alias("v"))
+    out = None
+    for ids, q in _blocks(queries, key, vec):
+        shared = spark.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            q2, sums, seen = (q * q).sum(1), {}, {}
+            for b in batches:
+                for c, part in b.groupby("c"):
+                    x = np.stack(part["v"].to_numpy()).astype(np.float64)
+                    for at in range(0, len(q), 256):
+                        tile = slice(at, at + 256)
+                        d = np.sqrt(np.maximum(0.0, q2[tile, None] + (x * x).sum(1)[None, :] - 2 * q[tile] @ x.T))
+                        sums.setdefault(c, np.zeros(len(q)))[tile] += d.sum(1)
+                    seen[c] = seen.get(c, 0) + len(x)
+            for c, s in sums.items():
+                yield pd.DataFrame({"k": ids, "other": c, "s": s, "n": seen[c]})
+
+        found = base.mapInPandas(run, "k long, other string, s double, n long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return queries.select(key, cluster, F.lit(0.0).alias("silhouette")).limit(0)
+    means = out.groupBy("k", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = queries.where(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.col(cluster).alias("mine"))
+    same = F.col("other") == F.col("mine").cast("string")
+    ab = means.join(own, "k").groupBy("k", "mine").agg(F.max(F.when(same, F.col("s") / F.greatest(F.lit(1), F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"), F.max(F.when(same, F.col("n"))).alias("n"))
+    s = F.when((F.col("n") <= 1) | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return ab.select(F.col("k").alias(key), F.col("mine").alias(cluster), F.round(s, 6).alias("silhouette"))
+
+
 def kmeans(rows: DataFrame, key: str, vec: str, k: int = 12, seed: int = 42) -> DataFrame:
     """key, cluster of a seeded k-means; labels are this implementation's own."""
     from pyspark.ml.clustering import KMeans
@@ -118,13 +168,58 @@ def kmeans(rows: DataFrame, key: str, vec: str, k: int = 12, seed: int = 42) ->
     return KMeans(k=k, seed=seed).fit(data).transform(data).select(key, F.col("prediction").cast("long").alias("cluster"))
 
 
-def best_k(rows: DataFrame, key: str, vec: str, low: int = 6, high: int = 10, seed: int = 42) -> int:
-    """The k in low..high with the best mean silhouette; the smallest of equals."""
-    scores = {k: silhouette(kmeans(rows, key, vec, k, seed).join(rows.select(key, vec), key), key, "cluster", vec).agg(F.avg("silhouette")).first()[0] for k in range(low, high + 1)}
+def best_k(rows: DataFrame, key: str, vec: str, low: int = 6, high: int = 10, seed: int = 42, sample: int = 2000) -> int:
+    """The k in low..high with the best mean Euclidean silhouette of ``sample`` rows, picked by a hash, against all; the smallest of equals."""
+    scores = {}
+    for k in range(low, high + 1):
+        placed = kmeans(rows, key, vec, k, seed).join(rows.select(key, vec), key)
+        scores[k] = silhouette(placed.orderBy(F.xxhash64(key), key).limit(sample), placed, key, "cluster", vec).agg(F.avg("silhouette")).first()[0] or 0.0
     return max(scores, key=lambda k: (scores[k], -k))
 
 
-def hashed_embedding(text_col, dims: int = 64):
-    """A text's hashed word-count vector: the offline stand-in for an embedding model."""
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)) == i)).cast("double"))
+def embed_texts(rows: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], vec: str = "embedding", size: int = 64) -> DataFrame:
+    """``rows`` with a vector of each text from any embedder, asked for ``size`` texts at a time over Arrow batches.
+
+    Null texts have a null vector. The embedder may be a hosted model or a function such as ``hashed_vectors``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            there = np.flatnonzero(b[text].notna().to_numpy())
+            made: list = [None] * len(b)
+            for at in range(0, len(there), size):
+                part = there[at : at + size]
+                for i, v in zip(part, embed(b[text].iloc[part].tolist())):
+                    made[i] = v
+            yield b.assign(**{vec: pd.Series(made, index=b.index, dtype=object)})
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(vec, ArrayType(DoubleType()))]))
+
+
+def hashed_vectors(dims: int = 64) -> Callable[[list[str]], list[list[float]]]:
+    """An embedder that counts the words of a text by their MD5: the offline stand-in for a model."""
+    import hashlib
+    import re
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = [0.0] * dims
+            for w in re.findall(r"[a-z0-9]+", t.lower()):
+                v[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims] += 1.0
+            out.append(v)
+        return out
+
+    return embed
+
+
+def retrieval_chain(queries: DataFrame, corpus: DataFrame, key: str, vec: str, text: str, prompt: Callable[[Column, Column], Column], model: Callable[[Column], Column], parse: Callable[[Column], Column], k: int = 4) -> DataFrame:
+    """query_key, context, prompt, answer: the k nearest texts of each query, joined nearest first, put
+    into a prompt, sent to a model column and parsed. ``queries`` needs ``question`` beside key and vector.
+    """
+    near = top_k(queries, corpus, key, vec, k).select("query_key", "key", "rank")
+    texts = near.join(corpus.select(F.col(key).alias("key"), F.col(text).alias("passage")), "key")
+    context = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "passage"))), lambda x: x["passage"]), "\n\n")  # k passages
+    rows = texts.groupBy("query_key").agg(context.alias("context")).join(queries.select(F.col(key).alias("query_key"), "question"), "query_key")
+    rows = rows.withColumn("prompt", prompt(F.col("context"), F.col("question")))
+    return rows.withColumn("answer", parse(model(F.col("prompt")))).select("query_key", "context", "prompt", "answer")

@@ -63,8 +63,8 @@ TEMPLATES = ", ".join("'" + t.replace("'", "''") + "'" for t in D.QUESTION_TEMPL
 RANKED = f"ranked as (select *, row_number() over (order by {KEY('eval', 'line_no')}, line_no) as rank from quoted where quote is not null)"
 
 
-@query(f"""with {CAND}, {QUOTE}, {RANKED}, t as (select *, case when {NUM(KEY('title', 'line_no'), 4)} = 0 and title is not null and title <> '' then title else quote end as basis from ranked where rank <= 161)
-select 'E' || lpad(rank::varchar, 4, '0') as id, 'answerable' as type, chunk_id, quote, replace(([{TEMPLATES}])[{NUM(KEY('template', 'line_no'), 4)} + 1], '{{topic}}', {TOPIC('basis')}) as question from t""")
+@query(f"""with {CAND}, {QUOTE}, {RANKED}, t as (select *, case when {NUM(KEY('title', 'line_no'), 4)} = 0 and title is not null and title <> '' then title else {TOPIC('quote')} end as basis from ranked where rank <= 161)
+select 'E' || lpad(rank::varchar, 4, '0') as id, 'answerable' as type, chunk_id, quote, replace(([{TEMPLATES}])[{NUM(KEY('template', 'line_no'), 4)} + 1], '{{topic}}', basis) as question from t""")
 def q_eval_answerable(spark, sf_dir):
     return D.answerable_questions(D.picked_quotes(_chunks(spark, sf_dir)), 161)
 

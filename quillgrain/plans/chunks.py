@@ -96,11 +96,10 @@ def q_heading_level(spark, sf_dir):
     return table(spark, sf_dir, "all_aigame_prompt").where("system_prompt is not null").select("entry_key", T.first_heading_level(F.col("system_prompt")).alias("level"))
 
 
-@query(r"""select entry_key, case when not regexp_matches(system_prompt, '(?m)^##\s+[一-鿿]+') then '不存在以## 开头的汉字标题' when not regexp_matches(system_prompt, '(?m)^###\s+Prompt') then 'Prompt部分未识别' else 'checked' end as message, replace(name, ':', '：') as name
+@query(r"""select entry_key, case when not regexp_matches(system_prompt, '(?m)^##\s+[一-鿿]+') then '不存在以## 开头的汉字标题' when not regexp_matches(system_prompt, '(?m)^###\s+Prompt') then 'Prompt部分未识别' when len(list_filter(string_split_regex(system_prompt, '(?m)^###\s+效果示例')[2:], lambda p: not (regexp_matches(p, '####\s+Q[：:]') and regexp_matches(p, '####\s+A[：:]')))) > 0 then '效果示例部分的 Q：或 A：未识别' else '格式正确' end as message, replace(name, ':', '：') as name
 from all_aigame_prompt where system_prompt is not null""")
 def q_template_check(spark, sf_dir):
-    made = table(spark, sf_dir, "all_aigame_prompt").where("system_prompt is not null").select("entry_key", M.template_check(F.col("system_prompt"))["message"].alias("m"), T.chinese_colons(F.col("name")).alias("name"))
-    return made.select("entry_key", F.when(F.col("m").isin("不存在以## 开头的汉字标题", "Prompt部分未识别"), F.col("m")).otherwise("checked").alias("message"), "name")
+    return table(spark, sf_dir, "all_aigame_prompt").where("system_prompt is not null").select("entry_key", M.template_check(F.col("system_prompt"))["message"].alias("message"), T.chinese_colons(F.col("name")).alias("name"))
 
 
 @query(r"select pair_id, regexp_extract(chosen, '(?s)\{.*\}') as object from preference_pairs where chosen is not null")

@@ -105,12 +105,15 @@ def q_tokenize_mask_right(spark, sf_dir):
     return rows.select("sample_id", "turn_no", F.size("t.input_ids").cast("long").alias("n_tokens"), total("t.input_ids").alias("sum_ids"), total("t.labels").alias("sum_labels"))
 
 
-@query(f"""with {TURNS}, w as (select sample_id, turn_no, len({WORDS('t.input')}) + len({WORDS('t.output')}) + 1 as n from turns where turn_no = 1), b as (select *, substr(sample_id, 1, length(sample_id) - 1) as batch from w)
-select sample_id, batch, least(n, 256)::bigint as n_tokens, max(least(n, 256)) over (partition by batch)::bigint as padded from b""")
+@query(f"""with {TURNS}, w as (select sample_id, turn_no, {WORDS('t.input')} as p, {WORDS('t.output')} as o from turns), c as (select *, list_concat(list_concat(p, o), [50000])[1:256] as ids, list_concat(list_concat(list_transform(p, lambda x: -100::bigint), o), [50000])[1:256] as labels, substr(sample_id, 1, length(sample_id) - 1) as batch from w),
+b as (select *, max(len(ids)) over (partition by batch) as padded from c)
+select sample_id, turn_no, batch, len(ids)::bigint as n_tokens, padded::bigint as padded, list_sum(ids)::bigint as sum_ids, (list_sum(labels) - 100 * (padded - len(ids)))::bigint as sum_labels, case when padded > len(ids) then 0 else ids[-1] end::bigint as last_id from b""")
 def q_pad_batch(spark, sf_dir):
-    rows = C.turns(_samples(spark, sf_dir)).where("turn_no = 1").select("sample_id", F.expr("substr(sample_id, 1, length(sample_id) - 1)").alias("batch"), C.tokenize_right(C.word_ids(F.col("input")), C.word_ids(F.col("output")), 50_000, 256).alias("t"))
+    """Every turn padded to its batch: ids with 0, the mask with 0, labels with -100."""
+    rows = C.turns(_samples(spark, sf_dir)).select("sample_id", "turn_no", F.expr("substr(sample_id, 1, length(sample_id) - 1)").alias("batch"), C.tokenize_right(C.word_ids(F.col("input")), C.word_ids(F.col("output")), 50_000, 256).alias("t"))
     padded = C.pad_batches(rows, "batch", "t")
-    return padded.select("sample_id", "batch", F.aggregate("t.attention_mask", F.lit(0), lambda s, x: s + x).cast("long").alias("n_tokens"), F.size("t.labels").cast("long").alias("padded"))
+    total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda s, x: s + x)
+    return padded.select("sample_id", "turn_no", "batch", total("t.attention_mask").alias("n_tokens"), F.size("t.labels").cast("long").alias("padded"), total("t.input_ids").alias("sum_ids"), total("t.labels").alias("sum_labels"), F.element_at("t.input_ids", -1).cast("long").alias("last_id"))
 
 
 @query(f"with {TURNS}, u as (select sample_id, string_agg(coalesce(t.output, ''), chr(10) || chr(10) order by turn_no) as context from turns group by 1) select sample_id, md5(context) as context_md5 from u")
@@ -175,6 +178,19 @@ def q_longest_first(spark, sf_dir):
     return table(spark, sf_dir, "eval_set").where(F.size("must_quotes") > 0).select("id", F.array_join(F.transform(F.sort_array(long, asc=False), lambda s: s["q"]), "\n").alias("ordered"))
 
 
+@query("select distinct id, name from all_aigame_prompt where id is not null")
+def q_catalogue_names(spark, sf_dir):
+    """The names that the catalogue lists under each id, without repeats."""
+    return table(spark, sf_dir, "all_aigame_prompt").where("id is not null").select("id", "name").distinct()
+
+
+@query("select name, md5(arg_min(system_prompt, entry_key)) as prompt_md5, min(entry_key) as entry_key from all_aigame_prompt where name is not null and system_prompt is not null group by 1")
+def q_catalogue_prompt(spark, sf_dir):
+    """The system prompt of each name: its first entry in the order of the keys."""
+    rows = table(spark, sf_dir, "all_aigame_prompt").where("name is not null and system_prompt is not null")
+    return rows.groupBy("name").agg(F.md5(F.min_by("system_prompt", "entry_key")).alias("prompt_md5"), F.min("entry_key").alias("entry_key"))
+
+
 @query("select id, count(*)::bigint as n_entries, count(distinct name)::bigint as n_names from all_aigame_prompt group by 1")
 def q_catalogue_by_id(spark, sf_dir):
     """Catalogue lookup by id: null is an id of its own here, since most entries have none."""

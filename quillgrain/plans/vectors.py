@@ -86,11 +86,18 @@ def q_cluster_stats(spark, sf_dir):
     return _vectors(spark, sf_dir).where("embedding is not null").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.element_at(v, 1).cast("double")), 6).alias("mean_first"), F.round(F.avg(V.dot(v, v)), 6).alias("mean_square"))
 
 
-@query(f"""with {VEC}, p as (select a.vec_id, a.label, b.label as other, count(*) as n, sum({DIST.replace('q.', 'a.').replace('c.', 'b.')} ** 2) as s from vecs a, vecs b group by 1, 2, 3),
+@query(f"""with {VEC}, p as (select a.vec_id, a.label, b.label as other, count(*) as n, sum({DIST.replace('q.', 'a.').replace('c.', 'b.')}) as s from vecs a, vecs b where a.vec_id % 100 = 0 group by 1, 2, 3),
 w as (select vec_id, label, max(case when label = other then s / greatest(1, n - 1) end) as a, min(case when label <> other then s / n end) as b, max(case when label = other then n end) as n from p group by 1, 2)
 select vec_id, label, round(case when n <= 1 or b is null then 0 when greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end, 6) as silhouette from w""")
 def q_silhouette(spark, sf_dir):
-    return R.silhouette(_vectors(spark, sf_dir), "vec_id", "label", "embedding")
+    return R.silhouette(_asked(spark, sf_dir), _vectors(spark, sf_dir), "vec_id", "label", "embedding")
+
+
+@query(f"""with {VEC}, p as (select a.vec_id, a.label, b.label as other, count(*) as n, sum({DIST.replace('q.', 'a.').replace('c.', 'b.')} ** 2) as s from vecs a, vecs b group by 1, 2, 3),
+w as (select vec_id, label, max(case when label = other then s / greatest(1, n - 1) end) as a, min(case when label <> other then s / n end) as b, max(case when label = other then n end) as n from p group by 1, 2)
+select vec_id, label, round(case when n <= 1 or b is null then 0 when greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end, 6) as silhouette from w""")
+def q_silhouette_squared(spark, sf_dir):
+    return R.squared_silhouette(_vectors(spark, sf_dir), "vec_id", "label", "embedding")
 
 
 @query()
@@ -101,14 +108,34 @@ def q_kmeans_assign(spark, sf_dir):
 @query(f"with {VEC}, near as (select q.vec_id as query_key, q.label, c.vec_id as key, row_number() over (partition by q.vec_id order by round({DIST}, 9), c.vec_id) as rank from vecs q join vecs c using (label) where q.vec_id % 100 = 0 and q.vec_id <> c.vec_id) select query_key, label, key, rank from near where rank <= 4")
 def q_partitioned_index(spark, sf_dir):
     """Each query asks only the index of its own scenario; the label names the partition."""
-    from pyspark.sql import Window
-
-    v = _vectors(spark, sf_dir).where("embedding is not null")
-    asked = _asked(spark, sf_dir).select(F.col("vec_id").alias("query_key"), "label", F.col("embedding").alias("q"))
-    both = v.join(asked, "label").where("vec_id <> query_key").select("query_key", "label", F.col("vec_id").alias("key"), F.round(V.l2(F.col("q"), F.col("embedding")), 9).alias("d"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_key").orderBy("d", "key")).cast("long")).where("rank <= 4").select("query_key", "label", "key", "rank")
+    v, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
+    out = None
+    for r in asked.select("label").distinct().orderBy("label").collect():  # scenarios are a fixed catalogue
+        own = F.col("label") == F.lit(r["label"])
+        part = R.top_k(asked.where(own), v.where(own), "vec_id", "embedding", 4).select("query_key", F.lit(r["label"]).alias("label"), "key", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("select doc_id, md5(replace(text, chr(10), ' ')) as cleaned_md5 from documents where text is not null")
 def q_embed_preclean(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(T.clean_for_embedding(F.col("text"))).alias("cleaned_md5"))
+
+
+@query(r"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents where text is not null), n as (select doc_id, ('0x' || substr(md5(w), 1, 8))::bigint % 16 as i, count(*) as c from w group by 1, 2)
+select doc_id, coalesce(sum(c), 0)::double as total, coalesce(sum(c * c), 0)::double as squares, coalesce(max(case when i = 3 then c end), 0)::double as fourth from documents left join n using (doc_id) where text is not null group by 1""")
+def q_embed_texts(spark, sf_dir):
+    """Texts embedded over Arrow batches; the hashed word counts stand in for a hosted model."""
+    docs = R.embed_texts(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null"), "text", R.hashed_vectors(16))
+    v = F.col("embedding")
+    return docs.select("doc_id", F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("total"), V.dot(v, v).alias("squares"), F.get(v, F.lit(3)).alias("fourth"))
+
+
+@query(f"""with {VEC}, {NEAR}, c as (select query_key, string_agg('item ' || key::varchar, chr(10) || chr(10) order by rank) as context from near where rank <= 4 group by 1)
+select query_key, context, 'Context:' || chr(10) || context || chr(10) || 'Question: what is like ' || query_key::varchar || '?' as prompt, 'ITEM ' || split_part(split_part(context, chr(10), 1), ' ', 2) as answer from c""")
+def q_retrieval_chain(spark, sf_dir):
+    """Retriever, context, prompt, model and parser in one plan; the model stand-in repeats its prompt in capitals."""
+    rows = _vectors(spark, sf_dir).withColumn("passage", F.concat(F.lit("item "), F.col("vec_id").cast("string")))
+    asked = _asked(spark, sf_dir).withColumn("question", F.concat(F.lit("what is like "), F.col("vec_id").cast("string"), F.lit("?")))
+    prompt = lambda context, question: F.concat(F.lit("Context:\n"), context, F.lit("\nQuestion: "), question)
+    return R.retrieval_chain(asked, rows, "vec_id", "embedding", "passage", prompt, F.upper, lambda a: F.regexp_extract(a, r"(ITEM \d+)", 1))

@@ -38,6 +38,19 @@ def read_json_lenient(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", F.explode(rows).alias("value"))
 
 
+def in_name_order(listed: DataFrame, name: str = "file") -> DataFrame:
+    """A listing of files with ``place``, from 1 in the order of their names; a listing is small."""
+    from pyspark.sql import Window
+
+    return listed.withColumn("place", F.row_number().over(Window.orderBy(name)).cast("long"))
+
+
+def fetch_missing(wanted: DataFrame, done: DataFrame, key: str, fetch: Callable[[str], str | None], retries: int = 3) -> DataFrame:
+    """key, content of what is not there yet; a failed fetch is tried again and then has a null content."""
+    left = wanted.select(key).distinct().join(done.select(key), key, "left_anti")
+    return left.withColumn("content", outside_column(fetch, retries)(F.col(key)))
+
+
 def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """file, text: one row for each file."""
     return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))

@@ -169,3 +169,26 @@ def test_clusters(spark):
     assert R.best_k(df, "vec_id", "embedding", 2, 4) == 3
     v = spark.createDataFrame([("b a a",)], "t string").select(R.hashed_embedding(F.col("t"), 8)).first()[0]
     assert sum(v) == 3 and len(v) == 8
+
+
+def test_assembling_helpers(spark):
+    from quillgrain.operators import builders, search
+    from quillgrain.sources import files
+
+    assert builders.instruction_targets(14, 0)["refusals"] == 4  # halves round to even, as the source tools do
+    df = spark.range(5)
+    assert builders.require_rows(df, 5).count() == 5
+    with pytest.raises(ValueError):
+        builders.require_rows(df, 6)
+    urls = spark.createDataFrame([("a",), ("b",), ("b",), ("bad",), (None,)], "url string")
+
+    def fetch(u):
+        if u == "bad":
+            raise OSError(u)
+        return u * 2
+
+    got = files.fetch_missing(urls, spark.createDataFrame([("a",)], "url string"), "url", fetch)
+    assert {tuple(r) for r in got.collect()} == {("b", "bb"), ("bad", None), (None, None)}
+    rows = spark.createDataFrame([(i, [float(i // 10) * 9 + (i % 10) / 10, 1.0]) for i in range(30)], "vec_id long, v array<double>")
+    assert search.best_k(rows, "vec_id", "v", 2, 5) == 3
+    assert search.embed_texts(spark.createDataFrame([(1, "a a b"), (2, None)], "i int, t string"), "t", search.hashed_vectors(4)).where("embedding is null").count() == 1
