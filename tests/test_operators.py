@@ -167,7 +167,7 @@ def test_clusters(spark):
     rows = [(i, (rng.normal(size=3) * 0.05 + np.eye(3)[i % 3] * 4).tolist()) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert R.best_k(df, "vec_id", "embedding", 2, 4) == 3
-    v = spark.createDataFrame([("b a a",)], "t string").select(R.hashed_embedding(F.col("t"), 8)).first()[0]
+    v = R.embed_texts(spark.createDataFrame([("b a a",)], "t string"), "t", R.hashed_vectors(8)).first()["embedding"]
     assert sum(v) == 3 and len(v) == 8
 
 
