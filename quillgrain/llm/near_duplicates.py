@@ -9,7 +9,6 @@ start: the copies share its answers.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +27,8 @@ REMEMBERED = 4096
 PARTS = 1024
 
 
-def _terms(norm: str, scope: str | None = None) -> np.ndarray:
-    return setjoin.shingle_set(norm)
-
-
 def text_classes(df: DataFrame, key: str, text: str, min_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(members: key, id), (classes: id, norm): records with equal normalised text share a class."""
+    """(members: key, id), (classes: id, side, n, terms): records with equal normalised text share a class."""
     flat = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("body")).where("k is not null and body is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,18 +41,17 @@ def text_classes(df: DataFrame, key: str, text: str, min_bytes: int) -> tuple[Da
     # map-side aggregation: copies of a text meet as one row for each task
     classes = write_shared(prepared.groupBy("fp").agg(F.min("norm").alias("norm")).withColumn("id", F.monotonically_increasing_id()))
     members = prepared.select("k", "fp").join(classes.select("fp", "id"), "fp").select(F.col("k").alias(key), "id")
-    return members, classes.select("id", "norm")
+    sets = setjoin.with_terms(classes.select("id", F.lit(-1).alias("side"), "norm", F.lit(None).cast("string").alias("scope")))
+    return members, write_shared(sets)
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """a, b (a < b), similarity of all classes at or over the threshold."""
-    sets = classes.select("id", F.lit(-1).alias("side"), "norm", F.lit(None).cast("string").alias("scope"))
-    counts = setjoin.term_counts(sets, _terms)
-    posted = setjoin.postings(sets, counts, _terms, lambda n: n - math.ceil(threshold * n - 1e-9) + 1)
+    posted = setjoin.postings(classes, setjoin.term_counts(classes), threshold)
     pairs = write_shared(setjoin.self_candidates(posted, threshold))
     leaders = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("lead"))
     led = pairs.join(leaders, "a", "left").withColumn("lead", F.coalesce("lead", "a"))
-    left, right = classes.select(F.col("id").alias("a"), F.col("norm").alias("ta")), classes.select(F.col("id").alias("b"), F.col("norm").alias("tb"))
+    left, right = classes.select(F.col("id").alias("a"), F.col("terms").alias("ta")), classes.select(F.col("id").alias("b"), F.col("terms").alias("tb"))
     rows = led.join(left, "a").join(right, "b").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
     rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "a", "b").select("lead", "a", "b", "ta", "tb")
 
@@ -70,14 +64,14 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
                 if lead != lead_id:
                     lead_id, lead_set, known, a_id = lead, None, {}, None
                 if a != a_id:
-                    a_id, a_set, less, more = a, _terms(ta), None, None
+                    a_id, a_set, less, more = a, setjoin.read_terms(ta), None, None
                     if a == lead:
                         lead_set = a_set
                     elif lead_set is not None:
                         less, more = np.setdiff1d(lead_set, a_set, assume_unique=True), np.setdiff1d(a_set, lead_set, assume_unique=True)
                         if len(less) + len(more) > 0.5 * len(a_set):
                             less = None
-                b_set = _terms(tb)
+                b_set = setjoin.read_terms(tb)
                 if less is not None and b in known:
                     both = known[b] - setjoin.overlap(less, b_set) + setjoin.overlap(more, b_set)
                 else:
@@ -104,6 +98,31 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7,
     return members, write_shared(similar_classes(classes, threshold))
 
 
+def groups(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """key, class id, group_id: records joined by links, directly or through others.
+
+    Large-star and small-star rounds over the classes' links until nothing changes; each round
+    replaces a class's links by links to its least neighbour, so a group of any size and shape needs
+    few rounds, and no group meets in one task as a list. A record without a link is its own group.
+    """
+    edges = write_shared(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = large.where("u <> v").distinct()
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        edges = write_shared(small.distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
+        if now == seen:
+            break
+        seen = now
+    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
+    return members.join(roots, members["id"] == roots["u"], "left").select(key, "id", F.coalesce("root", "id").alias("group_id"))
+
+
 def expand_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """key_a < key_b of all records in linked classes or in the same class."""
     left, right = members.select(F.col(key).alias("x"), F.col("id").alias("a")), members.select(F.col(key).alias("y"), F.col("id").alias("b"))

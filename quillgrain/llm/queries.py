@@ -94,6 +94,12 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record that takes part: its class of equal texts and its group of linked classes."""
+    parts = [near_duplicates.groups(members, links, key).select(F.lit(tbl).alias("tbl"), F.col(key).alias("row_key"), F.col("id").alias("class_id"), "group_id") for tbl, key, members, links in _p4(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 2200 characters of every oversized chunk."""
     return splitting.split_oversized(table(spark, sf_dir, "evidence_corpus"), "line_no", "text", "section")
@@ -128,11 +134,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.expand_links(*p6_links(spark, sf_dir))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compact form: every record of either side with its class of equal texts and its number of links."""
+    return overlap.link_counts(*p6_links(spark, sf_dir)).select("side", "tbl", F.col("key").alias("row_key"), "class_id", "n_links")
+
+
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation records with an overlap for each split and source; eval_set is a split of its own."""
     samples = table(spark, sf_dir, "sft_conversations").select(F.lit("sft_conversations").alias("tbl"), F.col("sample_id").alias("eval_key"), "split", "source").where("split in ('eval', 'test')")
     asked = table(spark, sf_dir, "eval_set").select(F.lit("eval_set").alias("tbl"), F.col("id").alias("eval_key"), F.lit("eval_set").alias("split"), F.col("type").alias("source"))
-    hits = p6_found(spark, sf_dir).groupBy("tbl", "eval_key").agg(F.count("*").alias("n"))
+    linked = p6_classes(spark, sf_dir).where("side = 0 and n_links > 0")
+    hits = linked.groupBy("tbl", F.col("row_key").alias("eval_key")).agg(F.sum("n_links").alias("n"))  # its classes are about different chunks, which no training row shares
     return samples.unionByName(asked).join(hits, ["tbl", "eval_key"], "left").groupBy("split", "source").agg(F.count("*").alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
 
 
@@ -174,7 +186,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rate", F.round(F.col("n_abusive") / F.col("n_docs"), 6)).withColumn("mean_score", F.round("mean_score", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_cuts, p2_limits, p2_rates, p3_found, p3_shares, p4_found, p4_classes, p5_found, p5_pieces, p6_found, p6_counts, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_cuts, p2_limits, p2_rates, p3_found, p3_shares, p4_found, p4_classes, p4_groups, p5_found, p5_pieces, p6_found, p6_classes, p6_counts, p7_containers, p8_found, p8_matches, p8_clean_documents, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {
     "p5_found": rf"""with t as (select line_no, regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g') as body from evidence_corpus where text is not null)
 select line_no, case when list_max(list_transform(string_split_regex(body, '[\s.!?;:,。！？；：，、]|{BLANK}'), lambda x: length(x))) > 2200 then 'forced' else 'natural' end as boundary from t where length(body) > 2200""",

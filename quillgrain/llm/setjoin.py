@@ -13,7 +13,7 @@ tasks of their own, so no task holds an unbounded list and no pair is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ BUCKETS = 1 << 18
 #: Postings of one block of a list; a join task holds two.
 BLOCK = 20_000
 #: Bits of the overlap bound.
-BITS = 1024
+BITS = 512
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -71,7 +71,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _bucket(terms: np.ndarray) -> np.ndarray:
+def bucket_of(terms: np.ndarray) -> np.ndarray:
     return (terms >> np.uint64(64 - 18)).astype(np.int64)
 
 
@@ -81,71 +81,129 @@ def bitmap(terms: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def term_counts(sets: DataFrame, terms_of: Callable[[str, str | None], np.ndarray]) -> np.ndarray:
-    """How many sets hold a term of each bucket, over all rows of ``sets`` (norm, scope)."""
+def shingle_sets(norms: list[str], scopes: list[str | None] | None = None, k: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of all texts one after the other, sorted within each; how many each has); see ``shingle_set``."""
+    terms, sizes = [], []
+    at, end = 0, 0
+    while at < len(norms):  # about a million characters at once, a longer text by itself
+        chars = 0
+        while end < len(norms) and (end == at or chars + len(norms[end]) <= 1_000_000):
+            chars += len(norms[end])
+            end += 1
+        part = norms[at:end]
+        cp = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        doc = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        if len(cp) >= k:
+            h = np.zeros(len(cp) - k + 1, dtype=np.uint64)
+            for i in range(k):
+                h = _mix(h * _M1 + cp[i : len(cp) - k + 1 + i] + np.uint64(1))
+            own = doc[: len(h)]
+            inside = own == doc[k - 1 :]
+            h, own = h[inside], own[inside]
+            if scopes is not None:
+                seeds = np.array([abs(hash_text(s)) if s else 0 for s in scopes[at:end]], dtype=np.uint64)
+                mixed = np.array([bool(s) for s in scopes[at:end]])[own]
+                h = np.where(mixed, _mix(h ^ seeds[own]), h)
+            order = np.lexsort((h, own))
+            h, own = h[order], own[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])]) if len(h) else np.empty(0, dtype=bool)
+            terms.append(h[new])
+            sizes.append(np.bincount(own[new], minlength=len(part)))
+        else:
+            sizes.append(np.zeros(len(part), dtype=np.int64))
+        at = end
+    return np.concatenate(terms) if terms else np.empty(0, dtype=np.uint64), np.concatenate(sizes).astype(np.int64) if sizes else np.empty(0, dtype=np.int64)
+
+
+def with_terms(texts: DataFrame) -> DataFrame:
+    """``texts`` (id, side, norm, scope) as stored sets: id, side, n, terms (hashes as binary), computed once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            terms, n = shingle_sets(b["norm"].tolist(), b["scope"].tolist())
+            ends = np.cumsum(n)
+            yield pd.DataFrame({"id": b["id"], "side": b["side"], "n": n.astype(np.int32), "terms": [terms[z - m : z].tobytes() for z, m in zip(ends, n)]})
+
+    return texts.select("id", F.col("side").cast("int").alias("side"), "norm", "scope").mapInPandas(run, "id long, side int, n int, terms binary")
+
+
+def read_terms(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, dtype=np.uint64)
+
+
+def term_counts(sets: DataFrame) -> np.ndarray:
+    """How many stored sets hold a term of each bucket, over all rows of ``sets``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
-            for norm, scope in zip(b["norm"], b["scope"]):
-                total += np.bincount(_bucket(terms_of(norm, scope)), minlength=BUCKETS) if len(norm) > 40_000 else 0
-            small = [terms_of(n, s) for n, s in zip(b["norm"], b["scope"]) if len(n) <= 40_000]
-            if small:
-                total += np.bincount(_bucket(np.concatenate(small)), minlength=BUCKETS)
+            total += np.bincount(bucket_of(read_terms(b"".join(b["terms"]))), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
-    rows = sets.select("norm", "scope").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = sets.select("terms").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, dtype=np.int64)
     out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def postings(sets: DataFrame, counts: np.ndarray, terms_of: Callable[[str, str | None], np.ndarray], prefix_of: Callable[[int], int]) -> DataFrame:
-    """The lists' entries of ``sets`` (id, side, norm, scope): key, blk, own, side, id, n, pos, bits.
+def square_weights(counts: np.ndarray, n_sets: int) -> np.ndarray:
+    """Squared inverse-frequency weight of the terms of each bucket."""
+    return np.log1p(n_sets / np.maximum(1, counts)) ** 2
+
+
+def postings(sets: DataFrame, counts: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> DataFrame:
+    """The lists' entries of stored ``sets``: key, blk, own, side, id, n, pos, rest, need, bits.
 
-    ``side`` is 0 for sets that probe, 1 for sets that are probed, -1 where each set does both.
-    Terms that no second set holds are left out.
+    A set posts its first floor((1 - threshold) n) + 1 terms, rarest first, which is also heaviest
+    first. ``side`` is 0 for sets that probe, 1 for sets that are probed, -1 where each set does
+    both. Terms that no second set holds are left out. With squared ``weights``, ``rest`` is the
+    squared norm of the terms from the posted one on and ``need`` the part of the squared norm that
+    any partner must share: all but the floor((1 - threshold) n) heaviest terms.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    shared = sets.sparkSession.sparkContext.broadcast((counts, weights))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = shared.value
-        for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            bits: list[bytes] = []
-            for doc, side, norm, scope in zip(b["id"], b["side"], b["norm"], b["scope"]):
-                terms = terms_of(norm, scope)
-                n = len(terms)
-                if not n:
+        count, weight = shared.value
+        for whole in batches:
+            cut = whole["n"].cumsum() // 400_000
+            for _, b in whole.groupby(cut):
+                n = b["n"].to_numpy(dtype=np.int64)
+                if not n.sum():
                     continue
-                c = count[_bucket(terms)]
-                first = np.lexsort((terms, c))[: prefix_of(n)]
-                pos = np.arange(len(first))
-                keep = c[first] > 1
-                first, pos = first[keep], pos[keep]
-                key, groups = terms[first].view(np.int64), -(-c[first].astype(np.int64) // BLOCK)
-                own = int(doc * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33
-                own = np.full(len(groups), own, dtype=np.int64) % groups
-                if side == -1:  # every pair of blocks that holds the own one
-                    again = groups
-                    at = np.repeat(np.arange(len(first)), again)
-                    other = np.arange(len(at)) - np.repeat(np.cumsum(again) - again, again)
-                    blk = np.minimum(own[at], other) * 1_000_000 + np.maximum(own[at], other)
-                elif side == 0:  # every block of the probed side
-                    at = np.repeat(np.arange(len(first)), groups)
-                    blk = np.arange(len(at)) - np.repeat(np.cumsum(groups) - groups, groups)
-                else:
-                    at, blk = np.arange(len(first)), own
-                for col, v in zip(cols, (key[at], blk, own[at], np.full(len(at), side), np.full(len(at), doc), np.full(len(at), n), pos[at])):
-                    col.append(v)
-                bits.extend([bitmap(terms)] * len(at))
-            if bits:
-                out = pd.DataFrame({name: np.concatenate(c).astype(t) for name, c, t in zip(("key", "blk", "own", "side", "id", "n", "pos"), cols, ("int64", "int64", "int32", "int8", "int64", "int32", "int32"))})
-                out["bits"] = bits
-                yield out
-
-    return sets.select("id", "side", "norm", "scope").mapInPandas(post, "key long, blk long, own int, side byte, id long, n int, pos int, bits binary")
+                terms = read_terms(b"".join(b["terms"]))
+                doc = np.repeat(np.arange(len(b)), n)
+                starts = np.cumsum(n) - n
+                c = count[bucket_of(terms)].astype(np.int64)
+                by = np.lexsort((terms, c, doc))
+                pos = np.arange(len(terms)) - starts[doc]
+                lost = np.floor((1 - threshold) * n + 1e-9).astype(np.int64)
+                rest, need = np.zeros(len(terms)), np.zeros(len(b))
+                if weight is not None:
+                    w = weight[bucket_of(terms[by])]
+                    run = np.concatenate([[0.0], np.cumsum(w)])
+                    rest = run[(starts + n)[doc]] - run[np.arange(len(terms))]
+                    need = run[starts + n] - run[starts + np.minimum(lost, n)]
+                keep = (pos <= lost[doc]) & (c[by] > 1)
+                pos, doc, rest = pos[keep], doc[keep], rest[keep]
+                key, groups = terms[by][keep].view(np.int64), -(-c[by][keep] // BLOCK)
+                ids, side = b["id"].to_numpy(dtype=np.int64), b["side"].to_numpy(dtype=np.int64)
+                own = ((ids.astype(np.uint64) * _M1) >> np.uint64(33)).astype(np.int64)[doc] % groups
+                # a set that does both is in every pair of blocks with its own, one that probes in every block
+                many = np.where(side[doc] == 1, 1, groups)
+                at = np.repeat(np.arange(len(doc)), many)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                mine, kind = own[at], side[doc[at]]
+                blk = np.where(kind == -1, np.minimum(mine, other) * 1_000_000 + np.maximum(mine, other), np.where(kind == 0, other, mine))
+                d = doc[at]
+                held = [bitmap(t) for t in np.split(terms, starts[1:])]
+                out = {"key": key[at], "blk": blk, "own": mine.astype(np.int32), "side": kind.astype(np.int8), "id": ids[d], "n": n[d].astype(np.int32), "pos": pos[at].astype(np.int32)}
+                if weight is not None:
+                    out |= {"rest": rest[at], "need": need[d]}
+                yield pd.DataFrame(out | {"bits": [held[i] for i in d]})
+
+    made = "key long, blk long, own int, side byte, id long, n int, pos int" + (", rest double, need double" if weights is not None else "") + ", bits binary"
+    return sets.select("id", "side", "n", "terms").mapInPandas(post, made)
 
 
 def _stretches(g: dict[str, np.ndarray], least_n, most_n, probes: np.ndarray, probed: np.ndarray, after_self: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,8 +254,10 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
 
 
 def _arrays(b: pd.DataFrame) -> dict[str, np.ndarray]:
-    g = {c: b[c].to_numpy() for c in ("own", "side", "id", "pos")}
+    g = {c: b[c].to_numpy() for c in ("own", "side", "id", "pos", "key")}
     g["n"] = b["n"].to_numpy(dtype=np.int64)
+    if "need" in b:
+        g["rest"], g["need"] = b["rest"].to_numpy(), b["need"].to_numpy()
     key, blk = b["key"].to_numpy(), b["blk"].to_numpy()
     g["group"] = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (blk[1:] != blk[:-1]))]).astype(np.int64)
     g["mixed"] = blk // 1_000_000 != blk % 1_000_000
@@ -249,29 +309,31 @@ def self_candidates(posted: DataFrame, threshold: float) -> DataFrame:
     return _sorted(posted).mapInPandas(join, "a long, b long").distinct()
 
 
-def cross_candidates(posted: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b): probing set a and probed set b whose cosine may reach ``threshold``.
+def cross_candidates(posted: DataFrame, threshold: float, weights: np.ndarray) -> DataFrame:
+    """Distinct (a, b): probing set a and probed set b that may have a Jaccard index of ``threshold``.
 
-    Presence vectors have unit norm, so each of a set's n terms weighs 1/sqrt(n). At a common term
-    at position i of n and j of m, the terms before it have no part in the product, which leaves
-    the residual norms sqrt((n - i) / n) and sqrt((m - j) / m) and at most min(n - i, m - j)
-    products of the two maximum weights; both bounds must reach the threshold.
+    A Jaccard index of t lets each set lose at most floor((1 - t) n) terms, so the dot product of the
+    weighted vectors is at least what is left of either squared norm without its heaviest terms
+    (``need``). At the first common term, the heaviest, the product is at most the residual squared
+    norm of either vector from there on, and at most as many products of the maximum weight as the
+    shorter rest has terms; both must reach the larger need.
     """
-    square = threshold * threshold
+    shared = posted.sparkSession.sparkContext.broadcast(weights)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight = shared.value
         for g in _groups(batches):
-            n, pos = g["n"], g["pos"].astype(np.int64)
+            n, pos, rest, need = g["n"], g["pos"].astype(np.int64), g["rest"], g["need"]
+            heaviest = weight[bucket_of(g["key"].view(np.uint64))]
             probes, probed = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
             left, right = [], []
             if len(probes) and len(probed):
-                least, most = np.ceil(square * n[probes] - 1e-9).astype(np.int64), np.floor(n[probes] / square + 1e-9).astype(np.int64)
+                least, most = np.ceil(threshold * n[probes] - 1e-9).astype(np.int64), np.floor(n[probes] / threshold + 1e-9).astype(np.int64)
                 for i, j in _stretches(g, least, most, probes, probed, False):
-                    a, b = n[i] - pos[i], n[j] - pos[j]
-                    nm = (n[i] * n[j]).astype(np.float64)
-                    ok = (np.minimum(a, b) >= threshold * np.sqrt(nm) - 1e-9) & (a * b >= square * nm - 1e-9)
+                    both = np.maximum(need[i], need[j]) * (1 - 1e-9) - 1e-9
+                    ok = (np.minimum(rest[i], rest[j]) >= both) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) * heaviest[i] >= both)
                     i, j = i[ok], j[ok]
-                    ok = _within_bound(g, i, j, threshold * np.sqrt(nm[ok]))
+                    ok = _within_bound(g, i, j, threshold / (1 + threshold) * (n[i] + n[j]))
                     left.append(g["id"][i[ok]])
                     right.append(g["id"][j[ok]])
             yield _unique_pairs(left, right)
