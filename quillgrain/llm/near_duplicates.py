@@ -21,10 +21,8 @@ from quillgrain.session import write_shared
 from . import setjoin
 from .common import normalise
 
-#: Overlaps with a leader that a task remembers; an answer that is not there is computed directly.
-REMEMBERED = 4096
-#: Into how many parts a leader's pairs are dealt, so that a hot group of near-duplicates is many tasks' work.
-PARTS = 1024
+#: Pairs of a leader that are one task's work; a hot group of near-duplicates has many parts.
+PAIRS = 20_000
 
 
 def text_classes(df: DataFrame, key: str, text: str, min_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -51,32 +49,38 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     pairs = write_shared(setjoin.self_candidates(posted, threshold))
     leaders = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("lead"))
     led = pairs.join(leaders, "a", "left").withColumn("lead", F.coalesce("lead", "a"))
-    left, right = classes.select(F.col("id").alias("a"), F.col("terms").alias("ta")), classes.select(F.col("id").alias("b"), F.col("terms").alias("tb"))
-    rows = led.join(left, "a").join(right, "b").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
-    rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "a", "b").select("lead", "a", "b", "ta", "tb")
+    parts = led.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(PAIRS)).alias("parts"))
+    led = write_shared(led.join(parts, "lead").select("lead", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "a", "b"))
+    # a part fetches each set it needs once, whatever the number of pairs the set is in
+    needed = led.select("lead", "part", F.col("a").alias("id")).unionByName(led.select("lead", "part", F.col("b").alias("id"))).distinct()
+    sets = needed.join(classes.select("id", "terms"), "id").select("lead", "part", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "terms")
+    rows = sets.unionByName(led.select("lead", "part", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("terms")))
+    rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "kind", "a", "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead_id, lead_set, known = None, None, {}
+        at, held, known = None, {}, {}
         a_id, a_set, less, more = None, None, None, None
         for batch in batches:
             out = []
-            for lead, a, b, ta, tb in zip(batch["lead"], batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                if lead != lead_id:
-                    lead_id, lead_set, known, a_id = lead, None, {}, None
+            for lead, part, kind, a, b, terms in zip(batch["lead"], batch["part"], batch["kind"], batch["a"], batch["b"], batch["terms"]):
+                if (lead, part) != at:
+                    at, held, known, a_id = (lead, part), {}, {}, None
+                if kind == 0:
+                    held[a] = setjoin.read_terms(terms)
+                    continue
                 if a != a_id:
-                    a_id, a_set, less, more = a, setjoin.read_terms(ta), None, None
-                    if a == lead:
-                        lead_set = a_set
-                    elif lead_set is not None:
+                    a_id, a_set, less, more = a, held[a], None, None
+                    lead_set = held.get(lead)
+                    if a != lead and lead_set is not None and known:
                         less, more = np.setdiff1d(lead_set, a_set, assume_unique=True), np.setdiff1d(a_set, lead_set, assume_unique=True)
                         if len(less) + len(more) > 0.5 * len(a_set):
                             less = None
-                b_set = setjoin.read_terms(tb)
+                b_set = held[b]
                 if less is not None and b in known:
                     both = known[b] - setjoin.overlap(less, b_set) + setjoin.overlap(more, b_set)
                 else:
                     both = setjoin.overlap(a_set, b_set)
-                    if a == lead and len(known) < REMEMBERED:
+                    if a == lead:
                         known[b] = both
                 union = len(a_set) + len(b_set) - both
                 if union and both >= threshold * union - 1e-9:
